@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histrank.llm import overlap, pairs, topn
+from histrank.llm import overlap, packing, pairs, tokens, topn
 from histrank.operators.packed import IDS, packed_values
 from histrank.session import table
 
@@ -56,7 +56,27 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text as ids of byte_bpe_50k."""
+    return tokens.encode_texts(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of documents, sized in ids of byte_bpe_50k, in a container of 2,048."""
+    sizes = tokens.count_tokens(table(spark, d, "documents"), "doc_id", "text")
+    return packing.pack(sizes, "doc_id", "n_tokens", 2048)
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, pieces, tokens, the share of space that is filled, and the least number of containers there could be."""
+    rows = p9_containers(spark, d).groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("n"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_pieces"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"),
+        F.round(F.sum("used") / (F.count(F.lit(1)) * 2048), 6).alias("filled"), F.ceil(F.sum("used") / 2048).alias("least_containers"),
+    )
+
+
+QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report}
 
 _P2 = """
 WITH s AS (SELECT DISTINCT sample_id AS b, i FROM (SELECT sample_id, unnest(history_item_id) AS i FROM candidate_samples) WHERE i IS NOT NULL AND sample_id IS NOT NULL),
