@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histrank.llm import overlap, packing, pairs, tokens, topn
+from histrank.llm import encoding, overlap, packing, pairs, tokens, topn
 from histrank.operators.packed import IDS, packed_values
 from histrank.session import table
 
@@ -76,7 +76,17 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with at least one passage that was decoded in another charset than it was written in."""
+    return encoding.find_garbled(table(spark, d, "documents"), "doc_id", "text", "lang", restore=False).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The same documents with the chains undone and the restored text."""
+    return encoding.find_garbled(table(spark, d, "documents"), "doc_id", "text", "lang", page="raw_bytes")
+
+
+QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report, "p10_found": p10_found, "p10_restored": p10_restored}
 
 _P2 = """
 WITH s AS (SELECT DISTINCT sample_id AS b, i FROM (SELECT sample_id, unnest(history_item_id) AS i FROM candidate_samples) WHERE i IS NOT NULL AND sample_id IS NOT NULL),
