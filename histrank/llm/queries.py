@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from histrank.llm import encoding, overlap, packing, pairs, tokens, topn
+from histrank.llm import clusters, encoding, overlap, packing, pairs, tokens, topn, vectors
 from histrank.operators.packed import IDS, packed_values
 from histrank.session import table
 
@@ -21,6 +21,30 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pairs(spark, d).select("item_a", "item_b")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of rows of item_vectors of which one is among the five nearest of the other."""
+    found = vectors.nearest_rows(table(spark, d, "item_vectors"), "row_index", "matrix", dim=64, k=5, least=0.8)
+    return found.select(F.least("row", "other").alias("row_index_a"), F.greatest("row", "other").alias("row_index_b")).distinct()
+
+
+def _clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.similarity_clusters(table(spark, d, "item_vectors"), "row_index", "matrix", dim=64, least=0.8, min_rows=4)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of item_vectors in clusters of at least four, with the smallest row of the cluster."""
+    return _clusters(spark, d).select(F.col("first").alias("cluster_first"), F.col("row").alias("row_index"))
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters with their size and their three most typical rows, by flow."""
+    rows = _clusters(spark, d)
+    typical = rows.withColumn("r", F.row_number().over(Window.partitionBy("first").orderBy(F.desc("flow"), "row"))).where("r <= 3")
+    return typical.groupBy(F.col("first").alias("cluster_first")).agg(
+        F.first("n_rows").alias("n_rows"), F.transform(F.array_sort(F.collect_list(F.struct("r", "row"))), lambda x: x["row"]).alias("typical_rows")
+    )
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The best five items of each sample."""
     rows = table(spark, d, "candidates").where("sample_id IS NOT NULL AND candidate_rank BETWEEN 1 AND 999998")
@@ -86,7 +110,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.find_garbled(table(spark, d, "documents"), "doc_id", "text", "lang", page="raw_bytes")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report, "p10_found": p10_found, "p10_restored": p10_restored}
 
 _P2 = """
 WITH s AS (SELECT DISTINCT sample_id AS b, i FROM (SELECT sample_id, unnest(history_item_id) AS i FROM candidate_samples) WHERE i IS NOT NULL AND sample_id IS NOT NULL),
