@@ -19,7 +19,7 @@ ALPHA = 1.2
 #: Vectors (chosen by stride) that every search is compared with to find its entry points, and entry points used.
 ENTRIES, STARTS = 256, 8
 #: Queries that are searched at once.
-BLOCK = 2048
+BLOCK = 1024
 
 
 def _nearest(q: np.ndarray, x: np.ndarray, entries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,49 +38,50 @@ def beam_search(q: np.ndarray, x: np.ndarray, links: np.ndarray, entries: np.nda
     ids = np.full((n, beam), -1, np.int32)
     dist = np.full((n, beam), np.inf, np.float32)
     done = np.zeros((n, beam), bool)
+    seen = np.zeros(n * len(x), bool)  # each vector is compared with a query once
+    base = np.arange(n, dtype=np.int64) * len(x)
     start, d = _nearest(q, x, entries, STARTS)
     order = np.argsort(d, axis=1)[:, :beam]
     k = order.shape[1]
     ids[:, :k], dist[:, :k] = np.take_along_axis(start, order, 1), np.take_along_axis(d, order, 1)
+    seen[(base[:, None] + start).ravel()] = True
     active = np.arange(n)
     while len(active):
         open_ = ~done[active] & (ids[active] >= 0)
-        rank = np.cumsum(open_, axis=1)
-        pick = open_ & (rank <= width)
-        more = pick.any(axis=1)
-        active, pick = active[more], pick[more]
+        more = open_.any(axis=1)
+        active, open_ = active[more], open_[more]
         if not len(active):
             break
-        cur_ids, cur_dist, cur_done = ids[active], dist[active], done[active] | pick
+        pick = open_ & (np.cumsum(open_, axis=1, dtype=np.int16) <= width)
+        cur_ids = ids[active]
+        done[active] |= pick
         rows, cols = np.nonzero(pick)
-        slot = np.cumsum(pick, axis=1)[rows, cols] - 1
-        hops = np.full((len(active), width, links.shape[1]), -1, np.int32)
-        hops[rows, slot] = links[cur_ids[rows, cols]]
-        hops = hops.reshape(len(active), -1)
-        hops.sort(axis=1)
-        hops[:, 1:][hops[:, 1:] == hops[:, :-1]] = -1
-        r, c = np.nonzero(hops >= 0)
-        new = np.full(hops.shape, np.inf, np.float32)
-        new[r, c] = 1 - np.einsum("ij,ij->i", x[hops[r, c]], q[active[r]])
-        # what is farther than the end of the beam, or in the beam already, needs no merging
-        new[new >= cur_dist[:, -1:]] = np.inf
-        keep = min(beam, new.shape[1])
-        best = np.argpartition(new, keep - 1, axis=1)[:, :keep] if keep < new.shape[1] else np.broadcast_to(np.arange(keep), (len(active), keep))
-        add_ids, add_dist = np.take_along_axis(hops, best, 1), np.take_along_axis(new, best, 1)
-        all_ids = np.concatenate([cur_ids, np.where(np.isfinite(add_dist), add_ids, -1)], axis=1)
-        all_dist = np.concatenate([cur_dist, add_dist], axis=1)
-        all_done = np.concatenate([cur_done, np.zeros(add_ids.shape, bool)], axis=1)
-        # a vector met again: the later copy goes (stable sort by id keeps the one in the beam first)
-        by_id = np.argsort(all_ids, axis=1, kind="stable")
-        sorted_ids = np.take_along_axis(all_ids, by_id, 1)
-        again = np.zeros(sorted_ids.shape, bool)
-        again[:, 1:] = (sorted_ids[:, 1:] == sorted_ids[:, :-1]) & (sorted_ids[:, 1:] >= 0)
-        np.put_along_axis(all_dist, by_id, np.where(again, np.inf, np.take_along_axis(all_dist, by_id, 1)), 1)
-        order = np.argsort(all_dist, axis=1, kind="stable")[:, :beam]
-        dist[active] = np.take_along_axis(all_dist, order, 1)
-        picked = np.take_along_axis(all_ids, order, 1)
-        ids[active] = np.where(np.isfinite(dist[active]), picked, -1)
-        done[active] = np.take_along_axis(all_done, order, 1)
+        hops = links[cur_ids[rows, cols]]
+        flat = (base[active[rows]][:, None] + hops)[hops >= 0]
+        flat = flat[~seen[flat]]
+        if not len(flat):
+            continue
+        flat.sort()
+        flat = flat[np.append(True, flat[1:] != flat[:-1])]
+        seen[flat] = True
+        owner, new = np.divmod(flat, len(x))
+        near = 1 - np.einsum("ij,ij->i", x[new], q[owner])
+        better = near < dist[owner, -1]
+        owner, new, near = owner[better], new[better], near[better]
+        if not len(owner):
+            continue
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))  # owners are in order
+        rows, counts = owner[first], np.diff(np.append(first, len(owner)))
+        slot = np.arange(len(owner)) - np.repeat(first, counts)
+        line = np.repeat(np.arange(len(rows)), counts)
+        add_ids = np.full((len(rows), int(counts.max())), -1, np.int32)
+        add_dist = np.full(add_ids.shape, np.inf, np.float32)
+        add_ids[line, slot], add_dist[line, slot] = new, near
+        all_dist = np.concatenate([dist[rows], add_dist], axis=1)
+        order = np.argsort(all_dist, axis=1)[:, :beam]
+        ids[rows] = np.take_along_axis(np.concatenate([ids[rows], add_ids], axis=1), order, 1)
+        dist[rows] = np.take_along_axis(all_dist, order, 1)
+        done[rows] = np.take_along_axis(np.concatenate([done[rows], np.zeros(add_ids.shape, bool)], axis=1), order, 1)
     return ids, dist
 
 
@@ -90,7 +91,7 @@ def robust_prune(points: np.ndarray, cand: np.ndarray, dist: np.ndarray, x: np.n
     alive = (cand >= 0) & (cand != points[:, None])
     out = np.full((n, degree), -1, np.int32)
     vecs = x[np.maximum(cand, 0)]
-    between = 1 - np.einsum("nik,njk->nij", vecs, vecs, optimize=True)
+    between = 1 - vecs @ vecs.transpose(0, 2, 1)
     count = np.zeros(n, np.int64)
     rows = np.arange(n)
     for _ in range(degree):
@@ -157,7 +158,7 @@ def _insert(points: np.ndarray, x: np.ndarray, links: np.ndarray, entries: np.nd
     for at in range(0, len(targets), BLOCK):
         t = targets[at : at + BLOCK]
         both = np.concatenate([links[t], extra[at : at + BLOCK]], axis=1)
-        dd = np.where(both >= 0, 1 - np.einsum("nk,nmk->nm", x[t], x[np.maximum(both, 0)]), np.inf).astype(np.float32)
+        dd = np.where(both >= 0, 1 - (x[np.maximum(both, 0)] @ x[t][:, :, None])[:, :, 0], np.inf).astype(np.float32)
         both, dd = _tidy(both, dd)
         small = (both >= 0).sum(axis=1) <= degree
         pruned = both[:, :degree].copy() if both.shape[1] >= degree else np.pad(both, ((0, 0), (0, degree - both.shape[1])), constant_values=-1)
