@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,10 +18,15 @@ def finite(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")) | x.isNull(), F.lit(0.0)).otherwise(x.cast("double")))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value evaluated once, not once for each use."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def l2_normalize(a: Column) -> Column:
     """The array divided by its length; zeros where the length is at most 1e-12."""
-    n = F.sqrt(dot(a, a))
-    return F.transform(a, lambda x: F.when(n > 1e-12, x.cast("double") / n).otherwise(0.0))
+    scaled = lambda v, n: F.transform(v, lambda x: F.when(n > 1e-12, x.cast("double") / n).otherwise(0.0))
+    return let(a, lambda v: let(F.sqrt(dot(v, v)), lambda n: scaled(v, n)))
 
 
 def mix(a: Column, b: Column, alpha: float) -> Column:
