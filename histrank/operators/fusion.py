@@ -1,7 +1,8 @@
 """Union, fusion, reranking and promotion of ranked candidate streams.
 
 ranked: (q, item, stream, rank, score, source, level, bucket), rank 0-based and unique in each (q, stream).
-Lists are bounded (histrank.sources.views.LIST of each stream), so windows over a query see bounded groups.
+Lists may be of any length: places within a query come from group_rank, figures of a query from aggregates that are joined,
+and windows over a query see its first rows only.
 """
 
 from __future__ import annotations
@@ -9,12 +10,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from histrank.operators.sequences import group_rank
+
 FAR = 10**12  # a rank that no candidate has
 
 
 def place(rows: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """rows with their 0-based place within the query in the order."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy("q").orderBy(*order)) - 1)
+    return group_rank(rows, ["q"], order, name)
+
+
+def first_places(rows: DataFrame, most: int, *order: Column, by: tuple[str, ...] = ("q",), name: str = "rank") -> DataFrame:
+    """The first `most` rows of each group with their 0-based place; the limit is applied before the shuffle as well."""
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return rows.withColumn(name, nth).where(F.col(name) <= most).withColumn(name, F.col(name) - 1)
+
+
+def with_totals(rows: DataFrame, *totals: Column) -> DataFrame:
+    """rows with aggregates of their query."""
+    return rows.join(rows.groupBy("q").agg(*totals), "q")
 
 
 def both_streams(ranked: DataFrame) -> DataFrame:
@@ -52,8 +66,7 @@ def source_aware_rrf(rows: DataFrame, weight: float, bonus: float) -> DataFrame:
 def ordered_union(rows: DataFrame, exclusive: int | None = None) -> DataFrame:
     """cf in its order, then the items that only direct has in theirs, at most `exclusive` of them."""
     if exclusive is not None:
-        nth = F.row_number().over(Window.partitionBy("q", F.col("cf").isNull()).orderBy("direct"))
-        rows = rows.withColumn("nth", nth).where(F.col("cf").isNotNull() | (F.col("nth") <= exclusive)).drop("nth")
+        rows = rows.where("cf IS NOT NULL").unionByName(first_places(rows.where("cf IS NULL"), exclusive, F.col("direct"), name="nth").drop("nth"))
     return place(rows, F.asc_nulls_last("cf"), F.asc_nulls_last("direct"))
 
 
@@ -80,9 +93,8 @@ FEATURES = (
 
 def ranker_features(fused: DataFrame) -> DataFrame:
     """The features of each fused candidate; a missing rank counts as one beyond the query's candidates."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("q"))
     t, c, r = F.col("cf") + 1, F.col("direct") + 1, F.col("rank") + 1
-    rows = fused.withColumns({"n": n, "t": F.coalesce(t, n + 1), "c": F.coalesce(c, n + 1)})
+    rows = with_totals(fused, F.count(F.lit(1)).alias("n")).withColumns({"t": F.coalesce(t, F.col("n") + 1), "c": F.coalesce(c, F.col("n") + 1)})
     has_t, has_c, low = F.col("cf").isNotNull(), F.col("direct").isNotNull(), F.least("t", "c")
     zero = F.lit(0.0)
     values = (
@@ -109,20 +121,19 @@ def linear_score(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 def cf_quota_reorder(fused: DataFrame, quota: int, top: int = 20) -> DataFrame:
     """The `quota` best of cf's first `top` go first, in order of the fused rank; all others follow in theirs."""
-    kept = F.coalesce(F.col("cf") < top, F.lit(False))
-    nth = F.row_number().over(Window.partitionBy("q", kept).orderBy("rank"))
-    rows = fused.withColumn("first", kept & (nth <= quota))
+    kept = first_places(fused.where(F.col("cf") < top).select("q", "item", "rank"), quota, F.col("rank"), name="nth")
+    rows = fused.join(kept.select("q", "item", F.lit(True).alias("first")), ["q", "item"], "left").fillna(False, ["first"])
     return place(rows, F.desc("first"), F.col("rank"), name="new_rank")
 
 
 def tail_promotion(rows: DataFrame, most: int, threshold: float, top: int = 20) -> DataFrame:
     """(q, item, new_rank, promoted): up to `most` items that only direct has, with probability >= threshold, take the tail of cf's first `top`."""
     only = F.col("cf").isNull() & (F.col("probability") >= threshold)
-    nth = F.row_number().over(Window.partitionBy("q", only).orderBy(F.desc("probability"), "direct", "item"))
-    size = F.least(F.lit(top), F.count("cf").over(Window.partitionBy("q")))
-    rows = rows.withColumns({"promoted": only & (nth <= F.least(F.lit(most), size)), "nth": nth, "size": size})
-    n = F.count_if("promoted").over(Window.partitionBy("q"))
-    rows = rows.withColumn("n", n)
+    sizes = rows.groupBy("q").agg(F.least(F.lit(top), F.count("cf")).alias("size"))
+    best = first_places(rows.where(only).select("q", "item", "probability", "direct"), most, F.desc("probability"), F.col("direct"), F.col("item"), name="nth")
+    best = best.join(sizes, "q").where("nth < size").select("q", "item", (F.col("nth") + 1).alias("nth"), F.lit(True).alias("promoted"))
+    sizes = sizes.join(best.groupBy("q").agg(F.count(F.lit(1)).alias("n")), "q", "left").fillna(0, ["n"])
+    rows = rows.join(sizes, "q").join(best, ["q", "item"], "left").fillna(False, ["promoted"])
     retained = F.coalesce(F.col("cf") < F.least(F.lit(top) - F.col("n"), F.col("size")), F.lit(False))
     group = F.when(retained, 0).when(F.col("promoted"), 1).when(F.col("cf").isNotNull(), 2).otherwise(3)
     order = F.when(retained | (group == 2), F.col("cf")).when(F.col("promoted"), F.col("nth")).otherwise(F.col("direct"))

@@ -46,6 +46,22 @@ def global_rank(rows: DataFrame, order: Sequence[str], name: str = "rn") -> tupl
     return placed.withColumn(name, start + inside).drop("_part"), total
 
 
+def group_rank(rows: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str = "rank") -> DataFrame:
+    """rows with their 0-based place in the order within their group; the order tells all rows of a group apart.
+
+    Rows are range-partitioned by group and order, so a large group spreads over partitions: places are offsets of
+    the group's earlier partitions plus places within the partition.  Group columns hold no nulls.
+    """
+    keys = ["_part", *group]
+    placed = materialize(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "placed")
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.sum("_n").over(earlier)).where("_before > 0")
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    # a row for each boundary of partitions that a group crosses, hence fewer than partitions
+    found = placed.withColumn(name, inside).join(F.broadcast(before.select(*keys, "_before")), keys, "left")
+    return found.withColumn(name, (F.col(name) + F.coalesce("_before", F.lit(0))).cast("int")).select(*[c for c in rows.columns if c != name], name)
+
+
 def chronological_split(rows: DataFrame, order: Sequence[str], train: float = 0.8, valid: float = 0.9) -> DataFrame:
     """rows with split: the first floor(n * train) in the order are train, up to floor(n * valid) valid, the rest test."""
     ordered, n = global_rank(rows, order)

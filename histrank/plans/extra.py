@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histrank.functions import text as X
@@ -358,8 +358,7 @@ def legacy_invalid_counter(spark: SparkSession, d: str) -> DataFrame:
     """Unknown items that come before the hit, over all queries."""
     rows = V.ranked(spark, d).where("stream = 'cf'").join(V.truth(spark, d), "q")
     known = table(spark, d, "items").select(F.col("item_id").alias("item"), F.lit(True).alias("known")).distinct()
-    hit = F.min(F.when(F.col("item") == F.col("target"), F.col("rank"))).over(Window.partitionBy("q"))
-    rows = rows.withColumn("hit", hit).join(known, "item", "left")
+    rows = U.with_totals(rows, F.min(F.when(F.col("item") == F.col("target"), F.col("rank"))).alias("hit")).join(known, "item", "left")
     bad = F.col("known").isNull() & (F.col("hit").isNull() | (F.col("rank") < F.col("hit")))
     return rows.groupBy("q").agg(F.count_if(bad).alias("b")).agg(F.sum("b").alias("invalid_before_hit"), F.count(F.lit(1)).alias("n"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histrank.functions import vector as A
@@ -245,10 +245,9 @@ def propensity(spark: SparkSession, d: str) -> DataFrame:
 
 @P.add(f"WITH {V.RANKED} SELECT q, item, rank, round(1.0::DOUBLE / (rank + 1), 6) AS reciprocal, round((score - avg(score) OVER w) / nullif(stddev_pop(score) OVER w, 0), 5) AS z, round(max(score) OVER w - score, 6) AS margin FROM ranked WHERE stream = 'direct' WINDOW w AS (PARTITION BY q)")
 def score_features(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("q")
-    rows = V.ranked(spark, d).where("stream = 'direct'")
-    z = F.try_divide(F.col("score") - F.avg("score").over(w), F.nullif(F.stddev_pop("score").over(w), F.lit(0.0)))
-    return rows.select("q", "item", "rank", F.round(F.lit(1.0) / (F.col("rank") + 1), 6).alias("reciprocal"), F.round(z, 5).alias("z"), F.round(F.max("score").over(w) - F.col("score"), 6).alias("margin"))
+    rows = U.with_totals(V.ranked(spark, d).where("stream = 'direct'"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("deviation"), F.max("score").alias("most"))
+    z = F.try_divide(F.col("score") - F.col("mean"), F.nullif("deviation", F.lit(0.0)))
+    return rows.select("q", "item", "rank", F.round(F.lit(1.0) / (F.col("rank") + 1), 6).alias("reciprocal"), F.round(z, 5).alias("z"), F.round(F.col("most") - F.col("score"), 6).alias("margin"))
 
 
 # streams and their batch twins

@@ -80,8 +80,8 @@ def fusion_sweep(spark: SparkSession, d: str) -> DataFrame:
     grid = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(b).alias("b")) for w in (0.25, 0.5, 1.0) for b in (0.0, 0.02)])
     rows = U.either(streams(spark, d)).withColumn("c", F.explode(grid)).select("*", "c.w", "c.b")
     score = F.coalesce(F.lit(1.0) / (F.col("cf") + 61), F.lit(0.0)) + F.coalesce(F.col("w") / (F.col("direct") + 61), F.lit(0.0)) + F.when(F.col("both"), F.col("b")).otherwise(0.0)
-    order = Window.partitionBy("w", "b", "q").orderBy(F.desc(F.round(score, 12)), "low", "item")
-    found = rows.withColumn("rank", F.row_number().over(order) - 1).select("q", F.col("item").alias("target"), "w", "b", "rank")
+    first = U.first_places(rows, 20, F.desc(F.round(score, 12)), F.col("low"), F.col("item"), by=("w", "b", "q"))
+    found = first.select("q", F.col("item").alias("target"), "w", "b", "rank")
     wanted = V.truth(spark, d).withColumn("c", F.explode(grid)).select("q", "target", "c.w", "c.b")
     hit = F.coalesce(F.col("rank") < 20, F.lit(False))
     return wanted.join(found, ["q", "target", "w", "b"], "left").groupBy("w", "b").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hit.cast("double")), 6).alias("hr20"), F.round(F.avg(F.when(hit, M.gain(F.col("rank"))).otherwise(0.0)), 6).alias("ndcg20"))
@@ -309,7 +309,7 @@ def popularity_baseline(spark: SparkSession, d: str) -> DataFrame:
 @P.add(f"WITH {V.RANKED} SELECT q, item, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, rank, item) - 1 AS place FROM ranked WHERE stream = 'direct' AND score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, rank, item) <= 10")
 def topk_stable(spark: SparkSession, d: str) -> DataFrame:
     rows = V.ranked(spark, d).where("stream = 'direct' AND score IS NOT NULL").select("q", "item", "score", "rank")
-    return U.place(rows, F.desc("score"), F.col("rank"), F.col("item"), name="place").where("place < 10").select("q", "item", "score", "place")
+    return U.first_places(rows, 10, F.desc("score"), F.col("rank"), F.col("item"), name="place").select("q", "item", "score", "place")
 
 
 @P.add(f"WITH {V.RANKED}, a AS (SELECT q, item, rank FROM ranked WHERE stream = 'cf' AND rank < 10), b AS (SELECT q, item, row_number() OVER (PARTITION BY q ORDER BY rank) - 1 AS rank FROM ranked WHERE stream = 'cf') SELECT count(*) AS n, count_if(a.rank <> b.rank) AS mismatches FROM a JOIN b ON a.q = b.q AND a.item = b.item")
@@ -322,19 +322,19 @@ def prefix_consistency(spark: SparkSession, d: str) -> DataFrame:
 @P.add(f"WITH {V.RANKED}, {V.TRUTH}, t AS (SELECT t.q, r.score AS target_score FROM truth t JOIN ranked r ON r.q = t.q AND r.item = t.target AND r.stream = 'direct') SELECT t.q, CASE WHEN t.target_score IS NOT NULL THEN count_if(r.score >= t.target_score) - 1 END AS rank FROM t JOIN ranked r ON r.q = t.q AND r.stream = 'direct' GROUP BY t.q, t.target_score")
 def pessimistic_rank(spark: SparkSession, d: str) -> DataFrame:
     rows = V.ranked(spark, d).where("stream = 'direct'").select("q", "item", "score").join(V.truth(spark, d), "q")
-    mine = F.max(F.when(F.col("item") == F.col("target"), F.col("score"))).over(Window.partitionBy("q"))
-    has = F.max((F.col("item") == F.col("target")).cast("int")).over(Window.partitionBy("q"))
-    rows = rows.withColumns({"mine": mine, "has": has}).where("has = 1").groupBy("q").agg(F.first("mine").alias("mine"), F.count_if(F.col("score") >= F.col("mine")).alias("c"))
+    mine = rows.where("item = target").select("q", F.col("score").alias("mine"))
+    rows = rows.join(mine, "q").groupBy("q").agg(F.max("mine").alias("mine"), F.count_if(F.col("score") >= F.col("mine")).alias("c"))
     return rows.select("q", F.when(F.col("mine").isNotNull(), F.col("c") - 1).alias("rank"))
 
 
 @P.add(f"WITH {V.RANKED}, w AS (SELECT *, lag(score) OVER (PARTITION BY q, stream ORDER BY rank) AS before, count(*) OVER (PARTITION BY q, stream) AS n FROM ranked) SELECT stream, count(*) AS n, count(DISTINCT q) AS n_queries, count_if(score IS NULL) AS null_scores, count_if(score > before) AS unordered, max(n) AS longest, count_if(item NOT IN (SELECT item_id FROM items)) AS unknown_items FROM w GROUP BY 1")
 def candidate_view_audit(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("q", "stream")
-    rows = V.ranked(spark, d).withColumns({"before": F.lag("score").over(w.orderBy("rank")), "n": F.count(F.lit(1)).over(w)})
+    rows = V.ranked(spark, d)
+    before = rows.select("q", "stream", (F.col("rank") + 1).alias("rank"), F.col("score").alias("before"))
+    rows = rows.join(before, ["q", "stream", "rank"], "left")
     rows = rows.join(table(spark, d, "items").select(F.col("item_id").alias("item"), F.lit(True).alias("known")).distinct(), "item", "left")
     return rows.groupBy("stream").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("q").alias("n_queries"), F.count_if(F.col("score").isNull()).alias("null_scores"), F.count_if(F.col("score") > F.col("before")).alias("unordered"), F.max("n").alias("longest"), F.count_if(F.col("known").isNull()).alias("unknown_items")
+        F.count(F.lit(1)).alias("n"), F.countDistinct("q").alias("n_queries"), F.count_if(F.col("score").isNull()).alias("null_scores"), F.count_if(F.col("score") > F.col("before")).alias("unordered"), (F.max("rank") + 1).alias("longest"), F.count_if(F.col("known").isNull()).alias("unknown_items")
     )
 
 

@@ -3,20 +3,20 @@
 inter(user_id, item_id, rating, ts)       clean interactions, one row per user, item and second
 hist(user_id, item_id, ts, history, split) up to ten earlier items of each interaction, split by time
 cat(item_id, title, sid, tokens)          the catalogue with semantic-id tokens
-ranked(q, item, stream, rank, score, ...)  0-based ranked candidates of the streams 'cf' and 'direct', at most LIST of each
+ranked(q, item, stream, rank, score, ...)  0-based ranked candidates of the streams 'cf' and 'direct', all of them
 truth(q, target)                          the wanted item of each query
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histrank.functions.sid import sid_tokens
-from histrank.operators.sequences import chronological_split, sliding_history, epoch_seconds
+from histrank.operators.sequences import chronological_split, group_rank, sliding_history, epoch_seconds
 from histrank.session import table
 
-#: Candidates of each stream that a query's list has (the reference's lists have 50).
+#: Length of a full list in candidate_count_summary, and the cut that RANKED in SQL still has; ranked() cuts nothing.
 LIST = 50
 
 
@@ -41,8 +41,7 @@ def ranked(spark: SparkSession, d: str) -> DataFrame:
     score = F.when(~F.isnan("fusion_score"), F.col("fusion_score"))
     best = F.min(F.struct(F.col("candidate_rank"), score.isNull().alias("none"), (-score).alias("low"), "candidate_id", "source_type", "cf_expansion_level", "cf_bucket_size"))
     rows = rows.groupBy(F.col("sample_id").alias("q"), F.col("item_id").alias("item"), stream.alias("stream")).agg(best.alias("b"))
-    order = Window.partitionBy("q", "stream").orderBy("b.candidate_rank", "b.none", "b.low", "item")
-    rows = rows.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < LIST)
+    rows = group_rank(rows, ["q", "stream"], ["b.candidate_rank", "b.none", "b.low", "item"])
     return rows.select("q", "item", "stream", "rank", (-F.col("b.low")).alias("score"), F.col("b.source_type").alias("source"), F.col("b.cf_expansion_level").alias("level"), F.col("b.cf_bucket_size").alias("bucket"))
 
 
