@@ -33,16 +33,16 @@ def jsonl_scan(spark: SparkSession, d: str) -> DataFrame:
 @P.add("SELECT item_id::VARCHAR AS key, item_sid AS value FROM items WHERE item_id < 500")
 def json_map_scan(spark: SparkSession, d: str) -> DataFrame:
     path = _path(spark, "map.json")
-    pairs = table(spark, d, "items").where("item_id < 500").select(F.map_from_entries(F.collect_list(F.struct(F.col("item_id").cast("string"), F.col("item_sid")))).alias("m"))
-    pairs.coalesce(1).select(F.to_json("m").alias("value")).write.text(path)
-    return S.read_json_map(spark, path, "string")
+    entries = F.collect_list(F.struct(F.col("item_id").cast("string"), F.col("item_sid")))
+    S.json_chunks(table(spark, d, "items").where("item_id IS NOT NULL"), F.map_from_entries(entries)).write.text(path)
+    return S.read_json_map(spark, path, "string", lines=True)
 
 
 @P.add("SELECT DISTINCT item_sid AS value FROM items WHERE item_id < 500 AND item_sid IS NOT NULL")
 def json_set_scan(spark: SparkSession, d: str) -> DataFrame:
     path = _path(spark, "set.json")
-    table(spark, d, "items").where("item_id < 500").agg(F.to_json(F.collect_list("item_sid")).alias("value")).coalesce(1).write.text(path)
-    return S.read_json_set(spark, path)
+    S.json_chunks(table(spark, d, "items"), F.collect_list("item_sid")).write.text(path)
+    return S.read_json_set(spark, path, lines=True)
 
 
 @P.add("SELECT item_id, asin, title FROM items WHERE title IS NOT NULL AND title <> ''")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histrank.functions.vector import finite
@@ -36,15 +36,21 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, required: Sequence[s
     return df.dropna(how="all").dropna(subset=list(required)) if required else df.dropna(how="all")
 
 
-def read_json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """(key, value) of one JSON object that maps keys to values of the type `value`."""
-    text = spark.read.text(path, wholetext=True)
+def json_chunks(df: DataFrame, chunk: Column, size: int = 1000) -> DataFrame:
+    """(value): the aggregate `chunk` of up to `size` rows of a partition at a time, as JSON."""
+    part = F.floor(F.monotonically_increasing_id() / size)
+    return df.withColumn("_chunk", part).groupBy("_chunk").agg(F.to_json(chunk).alias("value")).select("value")
+
+
+def read_json_map(spark: SparkSession, path: str, value: str, lines: bool = False) -> DataFrame:
+    """(key, value) of one JSON object that maps keys to values of the type `value`, or of one such object a line."""
+    text = spark.read.text(path, wholetext=not lines)
     return text.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("key", "value"))
 
 
-def read_json_set(spark: SparkSession, path: str) -> DataFrame:
-    """(value): the different elements of a JSON list, or the keys of a JSON object."""
-    text = spark.read.text(path, wholetext=True)
+def read_json_set(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(value): the different elements of a JSON list, or the keys of a JSON object, or of one such value a line."""
+    text = spark.read.text(path, wholetext=not lines)
     values = F.coalesce(F.from_json("value", "array<string>"), F.map_keys(F.from_json("value", "map<string,string>")))
     return text.select(F.explode(values).alias("value")).where("value IS NOT NULL").distinct()
 
