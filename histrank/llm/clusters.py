@@ -4,8 +4,9 @@ The graph has, for every node (histrank.llm.vectors), its nearest and some of th
 search.  Its column-stochastic matrix is squared (a sparse distributed product: join and sum), inflated (entries
 squared) and pruned (small entries dropped, at most ENTRIES kept in a column) until the columns settle; the strongest
 row of a column is its attractor, and nodes with one attractor are a cluster.  The flow into a node (its row sum)
-tells how typical it is.  An exact step follows: clusters between which the graph has a link of the wanted
-similarity are united, as steps of that similarity lead from one to the other.
+tells how typical it is.  Clusters between which the graph has a link of the wanted similarity are united, as
+steps of that similarity lead from one to the other.  An exact step follows, as a beam may be full of a node's own
+cluster: all nodes of different clusters are compared, and clusters with any such pair are united as well.
 """
 
 from __future__ import annotations
@@ -91,8 +92,11 @@ def similarity_clusters(df: DataFrame, key: str, vector: str, dim: int, least: f
     members = materialize(members, "members")
     hangs = members.select(F.col("rep").alias("u"), F.col("attractor").alias("v"))
     whole = united(hangs.unionByName(links.select(F.col("rep").alias("u"), F.col("other").alias("v"))))
-    root = nodes.select("copy", "rep").join(whole.select(F.col("node").alias("rep"), "root"), "rep", "left").join(flow, "rep", "left")
-    root = root.select("copy", F.coalesce("root", "rep").alias("root"), F.coalesce("flow", F.lit(0.0)).alias("flow"))
+    found = nodes.join(whole.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    found = materialize(found.select("copy", "rep", "matrix", F.coalesce("root", "rep").alias("root")), "found")
+    last = united(vectors.root_pairs(found, shards, dim, least)).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    root = found.select("copy", "rep", "root").join(last, "root", "left").join(flow, "rep", "left")
+    root = root.select("copy", F.coalesce("last", "root").alias("root"), F.coalesce("flow", F.lit(0.0)).alias("flow"))
     labelled = materialize(rows.select("row", "copy").join(root, "copy").select("row", "root", "flow"), "labelled")
     sizes = labelled.groupBy("root").agg(F.count(F.lit(1)).alias("n_rows"), F.min("row").alias("first")).where(F.col("n_rows") >= min_rows)
     return labelled.join(sizes, "root").select("row", "first", "n_rows", "flow")

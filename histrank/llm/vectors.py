@@ -8,7 +8,7 @@ one search.  Nodes are hashed to shards of about SHARD vectors; each shard gets
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,8 @@ from histrank.session import materialize
 
 #: Vectors of a shard (what one task builds a graph of).
 SHARD = 16_384
+#: More than the error of a cosine in single precision.
+DOUBT = 1e-5
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -96,6 +98,12 @@ def search_shards(graphs: DataFrame, shards: int, dim: int, near: int, far: int,
             r, c = np.nonzero((place < good[:, None]) & ((place < near) | (place >= good[:, None] - far)))
             yield pd.DataFrame({"rep": mine[r], "other": ids[found[r, c]], "cosine": cos[r, c]})
 
+    return both.mapInPandas(_mated(search), "rep bigint, other bigint, cosine double")
+
+
+def _mated(search: Callable[[pd.Series, pd.Series], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A function for mapInPandas that calls search with the two rows of each pair, that of the index first."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: dict[tuple[int, bool], pd.Series] = {}
         for b in batches:
@@ -107,7 +115,62 @@ def search_shards(graphs: DataFrame, shards: int, dim: int, near: int, far: int,
                 else:
                     waiting[p, i] = row
 
-    return both.mapInPandas(run, "rep bigint, other bigint, cosine double")
+    return run
+
+
+def root_pairs(nodes: DataFrame, shards: int, dim: int, least: float) -> DataFrame:
+    """(u, v), u < v: the roots of nodes(rep, root, matrix) between which any two nodes have a cosine >= least.
+
+    Exact: all nodes meet all nodes in blocks of matrix products, and what single precision leaves in doubt is
+    computed in double precision.  Each task holds two shards; blocks within one root are skipped.
+    """
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]  # the rows of one shard
+        if parts:
+            pdf = pd.concat(parts).sort_values(["root", "rep"])
+            m = np.stack(pdf.matrix.to_numpy()).astype(np.float32)
+            yield pd.DataFrame([[int(pdf.shard.iloc[0]), pdf.root.to_numpy(np.int64).tobytes(), m.tobytes()]], columns=["shard", "roots", "vectors"])
+
+    placed = nodes.select("rep", "root", "matrix", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"))
+    packed = materialize(placed.repartitionById(shards, F.col("shard")).mapInPandas(pack, "shard int, roots binary, vectors binary"), "packed")
+    crossed = packed.withColumn("mate", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    index = crossed.where("shard <= mate").select((F.col("shard") * shards + F.col("mate")).alias("pair"), F.lit(True).alias("index"), "shard", "roots", "vectors")
+    query = crossed.where("mate <= shard").select((F.col("mate") * shards + F.col("shard")).alias("pair"), F.lit(False).alias("index"), "shard", "roots", "vectors")
+
+    def search(x: pd.Series, q: pd.Series) -> Iterator[pd.DataFrame]:
+        a, b = np.frombuffer(x.roots, np.int64), np.frombuffer(q.roots, np.int64)
+        exact, qexact = (unit(np.frombuffer(v, np.float32).reshape(-1, dim)) for v in (x.vectors, q.vectors))
+        vecs, qvecs = exact.astype(np.float32), qexact.astype(np.float32)
+        met: set[tuple[int, int]] = set()
+
+        def new(r: np.ndarray, c: np.ndarray) -> set[tuple[int, int]]:
+            both = np.unique(np.stack([np.minimum(b[r], a[c]), np.maximum(b[r], a[c])], axis=1), axis=0)
+            return set(map(tuple, both.tolist())) - met
+
+        for i in range(0, len(b), graph.BLOCK):
+            rb = b[i : i + graph.BLOCK]
+            for j in range(i if x.shard == q.shard else 0, len(a), graph.BLOCK):
+                ra = a[j : j + graph.BLOCK]
+                if rb[0] == rb[-1] == ra[0] == ra[-1]:  # roots are in order
+                    continue
+                cos = qvecs[i : i + graph.BLOCK] @ vecs[j : j + graph.BLOCK].T
+                hit = cos >= least - DOUBT
+                if not hit.any():
+                    continue
+                hit &= rb[:, None] != ra[None, :]
+                r, c = np.nonzero(hit)
+                sure = cos[r, c] >= least + DOUBT
+                met |= new(r[sure] + i, c[sure] + j)
+                r, c = r[~sure] + i, c[~sure] + j
+                for at in range(0, len(r), 65_536):
+                    p, s = r[at : at + 65_536], c[at : at + 65_536]
+                    near = np.round(np.einsum("nj,nj->n", qexact[p], exact[s]), 6) >= least
+                    met |= new(p[near], s[near])
+        yield pd.DataFrame(sorted(met), columns=["u", "v"], dtype=np.int64)
+
+    both = index.unionByName(query).repartitionById(shards * shards, F.col("pair"))
+    return both.mapInPandas(_mated(search), "u bigint, v bigint").distinct()
 
 
 def nearest_rows(df: DataFrame, key: str, vector: str, dim: int, k: int, least: float) -> DataFrame:
