@@ -4,25 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from histrank.functions.sid import sid_prefix
+from histrank.operators.sequences import group_rank
 
 
-def expand(pred: DataFrame, dim: DataFrame, levels: Sequence[int] = (), most: int = 50) -> DataFrame:
+def expand(pred: DataFrame, dim: DataFrame, levels: Sequence[int] = ()) -> DataFrame:
     """(q, item, place, source, level, bucket, sid_rank, sources): candidates of predicted ids pred(q, sid_rank, sid, tokens).
 
     dim(item, sid, tokens) is the catalogue.  The items of each predicted id come first, then those of ids with the same
     prefix of each level, longest level first, ids and items in order.  An item keeps its first place and detail,
-    and gathers the sources that bring it; at most `most` items of a query are kept.
+    and gathers the sources that bring it.  Of predictions of one id, or of one prefix, only the first counts.
     """
     sizes = dim.groupBy("sid").agg(F.count(F.lit(1)).alias("bucket"))
     items = dim.join(sizes, "sid").select("item", "sid", "tokens", "bucket")
-    exact = pred.select("q", "sid_rank", "sid", F.size("tokens").alias("level")).join(items.select("item", "sid", "bucket"), "sid")
+    exact = pred.groupBy("q", "sid", F.size("tokens").alias("level")).agg(F.min("sid_rank").alias("sid_rank")).join(items.select("item", "sid", "bucket"), "sid")
     parts = [exact.select("q", "sid_rank", F.lit(0).alias("stage"), "sid", "item", F.lit("exact").alias("source"), "level", "bucket")]
     for stage, level in enumerate(sorted(levels, reverse=True), start=1):
-        left = pred.select("q", "sid_rank", sid_prefix(F.col("tokens"), level).alias("prefix")).where("prefix IS NOT NULL")
+        left = pred.select("q", "sid_rank", sid_prefix(F.col("tokens"), level).alias("prefix")).where("prefix IS NOT NULL").groupBy("q", "prefix").agg(F.min("sid_rank").alias("sid_rank"))
         right = items.select("item", "sid", "bucket", sid_prefix(F.col("tokens"), level).alias("prefix"))
         found = left.join(right, "prefix")
         parts.append(found.select("q", "sid_rank", F.lit(stage).alias("stage"), "sid", "item", F.lit(f"prefix@{level}").alias("source"), F.lit(level).alias("level"), "bucket"))
@@ -31,6 +32,5 @@ def expand(pred: DataFrame, dim: DataFrame, levels: Sequence[int] = (), most: in
         rows = rows.unionByName(more)
     first = F.min(F.struct("sid_rank", "stage", "sid", "item", "source", "level", "bucket"))
     rows = rows.groupBy("q", "item").agg(first.alias("f"), F.array_sort(F.collect_set("source")).alias("sources"))
-    order = Window.partitionBy("q").orderBy("f.sid_rank", "f.stage", "f.sid", "item")
-    rows = rows.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < most)
+    rows = group_rank(rows, ["q"], ["f.sid_rank", "f.stage", "f.sid", "item"], "place")
     return rows.select("q", "item", "place", F.col("f.source").alias("source"), F.col("f.level").alias("level"), F.col("f.bucket").alias("bucket"), F.col("f.sid_rank").alias("sid_rank"), "sources")

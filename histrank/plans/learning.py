@@ -132,7 +132,7 @@ ORD = "row_number() OVER (PARTITION BY q ORDER BY sid_rank, stage, sid, item) -
 
 def _expanded(spark: SparkSession, d: str, levels: tuple[int, ...]) -> DataFrame:
     dim = base(spark, d).select(F.col("item_id").alias("item"), F.slice("tokens", 1, 3).alias("tokens"), F.col("base").alias("sid"))
-    pred = V.ranked(spark, d).where("stream = 'cf' AND rank < 20").join(dim, "item").select("q", F.col("rank").alias("sid_rank"), "sid", "tokens")
+    pred = V.ranked(spark, d).where("stream = 'cf'").join(dim, "item").select("q", F.col("rank").alias("sid_rank"), "sid", "tokens")
     return expand(pred, dim, levels)
 
 

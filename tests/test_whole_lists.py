@@ -54,3 +54,18 @@ def test_whole_parity(spark, duck, name):  # noqa: F811
     cursor = duck.execute(sql.replace(CUT, ")"))
     names = [c[0] for c in cursor.description]
     assert got == Counter(tuple(_norm(r[names.index(c)]) for c in columns) for r in cursor.fetchall())
+
+
+@pytest.mark.parametrize("name", ["exact_expand", "prefix_expand", "candidate_report"])
+def test_whole_expansion(spark, duck, name):  # noqa: F811
+    """All predicted ids and all items they bring: the SQL without its cuts at 20 ids and 50 items."""
+    sql = learning.ORACLE[name].replace(CUT, ")")
+    for cut, whole in ((" AND rank < 20)", ")"), (" WHERE place < 50", "")):
+        assert cut in sql
+        sql = sql.replace(cut, whole)
+    df = learning.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    got = Counter(tuple(map(_norm, r)) for r in df.select(*columns).collect())
+    cursor = duck.execute(sql)
+    names = [c[0] for c in cursor.description]
+    assert got == Counter(tuple(_norm(r[names.index(c)]) for c in columns) for r in cursor.fetchall())
