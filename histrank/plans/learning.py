@@ -190,10 +190,10 @@ def heuristic_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 @P.add()
 def pairwise_ranker(spark: SparkSession, d: str) -> DataFrame:
-    """Weights of a linear ranker learnt from targets and the first eight other candidates of each query."""
+    """Weights of a linear ranker learnt from targets and all other candidates of each query."""
     rows = features(spark, d).join(V.truth(spark, d), "q")
     hit = F.col("item") == F.col("target")
-    weights = K.pairwise_ranker(rows.where(hit), rows.where(~hit & (F.col("fusion_rank") <= 8)), tuple(W))
+    weights = K.pairwise_ranker(rows.where(hit), rows.where(~hit), tuple(W))
     return spark.createDataFrame(sorted(weights.items()), "feature string, weight double")
 
 

@@ -69,3 +69,11 @@ def test_whole_expansion(spark, duck, name):  # noqa: F811
     cursor = duck.execute(sql)
     names = [c[0] for c in cursor.description]
     assert got == Counter(tuple(_norm(r[names.index(c)]) for c in columns) for r in cursor.fetchall())
+
+
+def test_all_negatives_are_learnt_from(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(learning.K, "pairwise_ranker", lambda positives, negatives, names: seen.update(p=positives.count(), n=negatives.count()) or {x: 0.0 for x in names})
+    learning.pairwise_ranker(spark, SF)
+    every = U.both_streams(V.ranked(spark, SF)).join(V.truth(spark, SF), "q")
+    assert seen == {"p": every.where("item = target").count(), "n": every.where("item <> target").count()}
