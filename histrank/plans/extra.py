@@ -143,17 +143,17 @@ def rating_backfill(spark: SparkSession, d: str) -> DataFrame:
     return V.hist(spark, d).select("user_id", "item_id", "ts").join(last, ["user_id", "item_id"], "left")
 
 
-@P.add(f"WITH {V.RANKED}, {V.TRUTH} SELECT t.q, target AS positive, item AS negative FROM truth t JOIN ranked r ON r.q = t.q AND stream = 'cf' AND r.item <> target AND r.rank < 5 WHERE t.q IN (SELECT r2.q FROM ranked r2 WHERE r2.q = t.q AND r2.item = t.target AND r2.stream = 'cf')")
+@P.add(f"WITH {V.RANKED}, {V.TRUTH} SELECT t.q, target AS positive, item AS negative FROM truth t JOIN ranked r ON r.q = t.q AND stream = 'cf' AND r.item <> target WHERE t.q IN (SELECT r2.q FROM ranked r2 WHERE r2.q = t.q AND r2.item = t.target AND r2.stream = 'cf')")
 def positive_negative_pairs(spark: SparkSession, d: str) -> DataFrame:
     rows = V.ranked(spark, d).where("stream = 'cf'").join(V.truth(spark, d), "q")
     has = rows.where("item = target").select("q")
-    return rows.where("item <> target AND rank < 5").join(has, "q", "left_semi").select("q", F.col("target").alias("positive"), F.col("item").alias("negative"))
+    return rows.where("item <> target").join(has, "q", "left_semi").select("q", F.col("target").alias("positive"), F.col("item").alias("negative"))
 
 
-@P.add(Z + "SELECT a.q, a.item AS direct_item, b.item AS boundary_item, b.cf AS boundary FROM z a JOIN z b ON a.q = b.q AND b.cf BETWEEN 10 AND 19 WHERE a.cf IS NULL AND a.direct < 5")
+@P.add(Z + "SELECT a.q, a.item AS direct_item, b.item AS boundary_item, b.cf AS boundary FROM z a JOIN z b ON a.q = b.q AND b.cf BETWEEN 10 AND 19 WHERE a.cf IS NULL")
 def boundary_pairs(spark: SparkSession, d: str) -> DataFrame:
     rows = streams(spark, d).select("q", "item", "cf", "direct")
-    left = rows.where("cf IS NULL AND direct < 5").select("q", F.col("item").alias("direct_item"))
+    left = rows.where("cf IS NULL").select("q", F.col("item").alias("direct_item"))
     return left.join(rows.where("cf BETWEEN 10 AND 19").select("q", F.col("item").alias("boundary_item"), F.col("cf").alias("boundary")), "q")
 
 

@@ -30,7 +30,7 @@ def jsonl_scan(spark: SparkSession, d: str) -> DataFrame:
     return S.read_jsonl(spark, S.first_that_exists(spark, [path + ".missing", path]), "item_id bigint, title string", ["item_id"])
 
 
-@P.add("SELECT item_id::VARCHAR AS key, item_sid AS value FROM items WHERE item_id < 500")
+@P.add("SELECT item_id::VARCHAR AS key, item_sid AS value FROM items WHERE item_id IS NOT NULL")
 def json_map_scan(spark: SparkSession, d: str) -> DataFrame:
     path = _path(spark, "map.json")
     entries = F.collect_list(F.struct(F.col("item_id").cast("string"), F.col("item_sid")))
@@ -38,7 +38,7 @@ def json_map_scan(spark: SparkSession, d: str) -> DataFrame:
     return S.read_json_map(spark, path, "string", lines=True)
 
 
-@P.add("SELECT DISTINCT item_sid AS value FROM items WHERE item_id < 500 AND item_sid IS NOT NULL")
+@P.add("SELECT DISTINCT item_sid AS value FROM items WHERE item_sid IS NOT NULL")
 def json_set_scan(spark: SparkSession, d: str) -> DataFrame:
     path = _path(spark, "set.json")
     S.json_chunks(table(spark, d, "items"), F.collect_list("item_sid")).write.text(path)

@@ -126,7 +126,7 @@ def ppmi_svd(spark: SparkSession, d: str) -> DataFrame:
 
 # expansion
 
-EXP = f"WITH {V.RANKED}, {V.CAT}, dim AS (SELECT item_id AS item, tokens[:3] AS tokens, {BASE} AS sid FROM cat), sz AS (SELECT sid, count(*) AS bucket FROM dim GROUP BY 1), items2 AS (SELECT dim.*, bucket FROM dim JOIN sz USING (sid)), pred AS (SELECT q, rank AS sid_rank, sid, tokens FROM ranked JOIN dim USING (item) WHERE stream = 'cf' AND rank < 20) "
+EXP = f"WITH {V.RANKED}, {V.CAT}, dim AS (SELECT item_id AS item, tokens[:3] AS tokens, {BASE} AS sid FROM cat), sz AS (SELECT sid, count(*) AS bucket FROM dim GROUP BY 1), items2 AS (SELECT dim.*, bucket FROM dim JOIN sz USING (sid)), pred AS (SELECT q, rank AS sid_rank, sid, tokens FROM ranked JOIN dim USING (item) WHERE stream = 'cf') "
 ORD = "row_number() OVER (PARTITION BY q ORDER BY sid_rank, stage, sid, item) - 1"
 
 
@@ -136,12 +136,12 @@ def _expanded(spark: SparkSession, d: str, levels: tuple[int, ...]) -> DataFrame
     return expand(pred, dim, levels)
 
 
-@P.add(EXP + f", x AS (SELECT q, sid_rank, 0 AS stage, p.sid, i.item, 'exact' AS source, len(p.tokens) AS level, bucket FROM pred p JOIN items2 i ON i.sid = p.sid QUALIFY row_number() OVER (PARTITION BY q, i.item ORDER BY sid_rank, p.sid) = 1) SELECT * FROM (SELECT q, item, {ORD} AS place, source, level, bucket, sid_rank FROM x) WHERE place < 50")
+@P.add(EXP + f", x AS (SELECT q, sid_rank, 0 AS stage, p.sid, i.item, 'exact' AS source, len(p.tokens) AS level, bucket FROM pred p JOIN items2 i ON i.sid = p.sid QUALIFY row_number() OVER (PARTITION BY q, i.item ORDER BY sid_rank, p.sid) = 1) SELECT * FROM (SELECT q, item, {ORD} AS place, source, level, bucket, sid_rank FROM x)")
 def exact_expand(spark: SparkSession, d: str) -> DataFrame:
     return _expanded(spark, d, ()).drop("sources")
 
 
-PX = EXP + f", u AS (SELECT q, sid_rank, 0 AS stage, p.sid, i.item, 'exact' AS source, len(p.tokens) AS level, bucket FROM pred p JOIN items2 i ON i.sid = p.sid UNION ALL SELECT q, sid_rank, 1, i.sid, i.item, 'prefix@2', 2, bucket FROM pred p JOIN items2 i ON len(p.tokens) >= 2 AND len(i.tokens) >= 2 AND i.tokens[:2] = p.tokens[:2]), ss AS (SELECT q, item, list_sort(list(DISTINCT source)) AS sources FROM u GROUP BY 1, 2), x AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY q, item ORDER BY sid_rank, stage, sid) = 1), o AS (SELECT *, {ORD} AS place FROM x), px AS (SELECT o.q, o.item, place, source, level, bucket, sid_rank, sources FROM o JOIN ss ON ss.q = o.q AND ss.item = o.item WHERE place < 50) "
+PX = EXP + f", u AS (SELECT q, sid_rank, 0 AS stage, p.sid, i.item, 'exact' AS source, len(p.tokens) AS level, bucket FROM pred p JOIN items2 i ON i.sid = p.sid UNION ALL SELECT q, sid_rank, 1, i.sid, i.item, 'prefix@2', 2, bucket FROM pred p JOIN items2 i ON len(p.tokens) >= 2 AND len(i.tokens) >= 2 AND i.tokens[:2] = p.tokens[:2]), ss AS (SELECT q, item, list_sort(list(DISTINCT source)) AS sources FROM u GROUP BY 1, 2), x AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY q, item ORDER BY sid_rank, stage, sid) = 1), o AS (SELECT *, {ORD} AS place FROM x), px AS (SELECT o.q, o.item, place, source, level, bucket, sid_rank, sources FROM o JOIN ss ON ss.q = o.q AND ss.item = o.item) "
 
 
 @P.add(PX + "SELECT * FROM px")

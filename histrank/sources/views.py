@@ -16,7 +16,7 @@ from histrank.functions.sid import sid_tokens
 from histrank.operators.sequences import chronological_split, group_rank, sliding_history, epoch_seconds
 from histrank.session import table
 
-#: Length of a full list in candidate_count_summary, and the cut that RANKED in SQL still has; ranked() cuts nothing.
+#: Length of a full list in candidate_count_summary; ranked() and RANKED cut nothing.
 LIST = 50
 
 
@@ -72,12 +72,12 @@ hist AS (SELECT user_id, item_id, ts, history, CASE WHEN rn < floor(n * 0.8::DOU
 )
 CAT = """cat AS (SELECT item_id, title, item_sid AS sid, CASE WHEN regexp_full_match(regexp_replace(item_sid, '\\s+', '', 'g'), '(<[A-Za-z]_[0-9]+>)+')
   THEN regexp_extract_all(regexp_replace(item_sid, '\\s+', '', 'g'), '<[A-Za-z]_[0-9]+>') ELSE [] END AS tokens FROM items WHERE item_id IS NOT NULL)"""
-RANKED = f"""ranked AS (SELECT q, item, stream, rank, score, source, level, bucket FROM (
+RANKED = """ranked AS (SELECT q, item, stream, rank, score, source, level, bucket FROM (
   SELECT *, row_number() OVER (PARTITION BY q, stream ORDER BY candidate_rank, score DESC NULLS LAST, item) - 1 AS rank FROM (SELECT * FROM (
     SELECT sample_id AS q, item_id AS item, CASE WHEN source_type = 'sasrec_direct' THEN 'direct' ELSE 'cf' END AS stream, candidate_rank, candidate_id,
       CASE WHEN NOT isnan(fusion_score) THEN fusion_score END AS score, source_type AS source, cf_expansion_level AS level, cf_bucket_size AS bucket
     FROM candidates WHERE sample_id IS NOT NULL AND item_id IS NOT NULL AND candidate_rank BETWEEN 1 AND 999998)
-  QUALIFY row_number() OVER (PARTITION BY q, item, stream ORDER BY candidate_rank, score DESC NULLS LAST, candidate_id) = 1)) WHERE rank < {LIST})"""
+  QUALIFY row_number() OVER (PARTITION BY q, item, stream ORDER BY candidate_rank, score DESC NULLS LAST, candidate_id) = 1)))"""
 TRUTH = """truth AS (SELECT sample_id AS q, target_item_id AS target FROM candidate_samples WHERE sample_id IS NOT NULL AND target_item_id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY ingested_at DESC, target_item_id) = 1)"""
 RANKS = f"""{RANKED}, {TRUTH}, ranks AS (SELECT q, target, min(CASE WHEN stream = 'cf' THEN rank END) AS cf, min(CASE WHEN stream = 'direct' THEN rank END) AS direct
