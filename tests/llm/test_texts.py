@@ -63,6 +63,13 @@ def test_place(capacity, n):
     assert packing.place({}, capacity) == ([], 0)
 
 
+def test_the_shortest_pack_comes_first():
+    """Of packs that hold 7 and 5 of 10, an item of 3 goes to the shorter one, by best fit to the longer one."""
+    assert packing.place({7: 1, 5: 1, 3: 1}, 10) == ([(7, 0, 1, 0, 1, 0), (5, 0, 1, 1, 1, 0), (3, 0, 1, 1, 1, 5)], 2)
+    assert packing.place({7: 1, 5: 1, 3: 1}, 10, fullest=True) == ([(7, 0, 1, 0, 1, 0), (5, 0, 1, 1, 1, 0), (3, 0, 1, 0, 1, 7)], 2)
+    assert packing.place({6: 2, 2: 3}, 10) == ([(6, 0, 2, 0, 1, 0), (2, 0, 2, 0, 1, 6), (2, 2, 1, 0, 1, 8)], 2)
+
+
 def test_pack(spark, monkeypatch):
     rng = random.Random(1)
     data = [(i, rng.choice([1, 5, 5, 5, 9, 10, 11, 37, 0, None])) for i in range(500)] + [(9000, 100)]
