@@ -68,16 +68,24 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.least("train_id", "eval_id").alias("sample_id_a"), F.greatest("train_id", "eval_id").alias("sample_id_b")).distinct()
 
 
+def p6_records(spark: SparkSession, d: str) -> DataFrame:
+    """Per evaluation sample and source of training samples: the largest coverage and the training samples that overlap."""
+    found = overlap.record_coverage(_records(spark, d), similarity=0.6, min_items=4)
+    return found.select(F.col("id").alias("sample_id"), "split", "source", "train_source", F.round("coverage", 6).alias("coverage"), "n_train")
+
+
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    """Per evaluation split and source: samples, samples that overlap with a training sample, mean and largest coverage."""
+    """Per evaluation split, source and source of training samples: samples, those that overlap, mean and largest coverage.
+
+    A row whose train_source is null and n_overlapping 0 stands for a split and source without any overlap.
+    """
     records = _records(spark, d)
-    covered = overlap.eval_coverage(records, similarity=0.6, min_items=4)
-    evaluation = records.where("side = 'eval'").select("id", F.lower(F.trim("split")).alias("split"), "source").distinct()
-    return (
-        evaluation.join(covered, "id", "left")
-        .groupBy("split", "source")
-        .agg(F.countDistinct("id").alias("n_samples"), F.count("coverage").alias("n_overlapping"), F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.round(F.max("coverage"), 6).alias("max_coverage"))
-    )
+    covered = overlap.record_coverage(records, similarity=0.6, min_items=4)
+    name = F.lower(F.trim("split")).alias("split")
+    sizes = records.where("side = 'eval'").groupBy(name, "source").agg(F.countDistinct("id").alias("n_samples"))
+    parts = covered.groupBy(name, "source", "train_source").agg(F.countDistinct("id").alias("n_overlapping"), F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.round(F.max("coverage"), 6).alias("max_coverage"))
+    met = (F.col("a.split") == F.col("b.split")) & F.col("a.source").eqNullSafe(F.col("b.source"))
+    return sizes.alias("a").join(parts.alias("b"), met, "left").select("a.split", "a.source", "b.train_source", "a.n_samples", F.coalesce("b.n_overlapping", F.lit(0)).alias("n_overlapping"), "b.mean_coverage", "b.max_coverage")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +118,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.find_garbled(table(spark, d, "documents"), "doc_id", "text", "lang", page="raw_bytes")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_found": p5_found, "p6_found": p6_found, "p6_records": p6_records, "p6_report": p6_report, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report, "p10_found": p10_found, "p10_restored": p10_restored}
 
 _P2 = """
 WITH s AS (SELECT DISTINCT sample_id AS b, i FROM (SELECT sample_id, unnest(history_item_id) AS i FROM candidate_samples) WHERE i IS NOT NULL AND sample_id IS NOT NULL),

@@ -48,8 +48,17 @@ def test_top_n(spark):
     assert topn.top_n(df.where("false"), "grp", 5, code, ["item"]).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_overlap(spark, seed):
+def test_no_pair_is_lost(spark):
+    """All pairs of sets of 4 to 9 of 9 items with a similarity of 0.6 or more share a fingerprint."""
+    sets = [tuple(str(i) for i in range(9) if code >> i & 1) for code in range(512) if code.bit_count() >= 4]
+    df = spark.createDataFrame([(f"{s}{i}", s, 1, list(x)) for i, x in enumerate(sets) for s in ("train", "eval")], "class string, side string, target int, items array<string>")
+    want = {(f"train{i}", f"eval{j}") for i, x in enumerate(sets) for j, y in enumerate(sets) if 10 * len({*x} & {*y}) >= 6 * len({*x} | {*y})}
+    assert {(r["train"], r["eval"]) for r in overlap.class_overlaps(df, 0.6).collect()} == want
+
+
+@pytest.mark.parametrize(("seed", "salt"), [(1, 5_000), (2, 3)])
+def test_overlap(spark, monkeypatch, seed, salt):
+    monkeypatch.setattr(overlap, "SALT_ROWS", salt)
     rng = random.Random(seed)
     data = []
     for i in range(260):
@@ -66,6 +75,12 @@ def test_overlap(spark, seed):
                 want.add((i, j))
     got = {(r["train_id"], r["eval_id"]) for r in overlap.cross_split_pairs(records, 0.6, 4).collect()}
     assert got == want and (900, 901) in got
-    best = {r["id"] for r in overlap.eval_coverage(records, 0.6, 4).collect()}
-    assert best == {j for _, j in want}
+    share = {}
+    for i, s, t, x in sets:
+        for j, s2, t2, y in sets:
+            if (i, j) in want and s == "train" and s2 == "eval" and t == t2 and 10 * len(x & y) >= 6 * len(x | y):
+                share[j] = max(share.get(j, 0), len(x & y) / len(y))
+    of = overlap.record_coverage(records.withColumn("source", F.lit("s")), 0.6, 4).collect()
+    assert {r["id"] for r in of} == {j for _, j in want}
+    assert all(r["train_source"] == "s" and abs(r["coverage"] - share[r["id"]]) < 1e-9 for r in of)
     assert overlap.cross_split_pairs(records.where("false"), 0.6, 4).count() == 0
