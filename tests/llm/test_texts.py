@@ -40,6 +40,33 @@ def test_slices_have_offsets():
     assert firsts.tolist() == [0, 7, 7, 9] and len(numbers) == 9
 
 
+def test_transition_functions_compose():
+    functions, then, maps, _ = tokens._automaton()
+    rng = random.Random(2)
+    for _ in range(500):
+        f, g, h = (rng.randrange(len(maps)) for _ in range(3))
+        assert then[then[f, g], h] == then[f, then[g, h]]
+        assert (maps[then[f, g]] == maps[g][maps[f]]).all()
+    symbols = [rng.randrange(tokens.SYMBOLS) for _ in range(2000)]
+    state, scan = tokens.TEXT, functions[symbols[0]]
+    for i, x in enumerate(symbols):
+        state = tokens._step(state, x)
+        scan = functions[x] if i == 0 else then[scan, functions[x]]
+        assert maps[scan][tokens.TEXT] == state
+
+
+def test_offsets_decode_any_range(spark):
+    texts = ["don't  stop\n\nnow", None, "é 12 日本語😀 we'll", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    enc = tokens.encoder()
+    for r in tokens.encode_texts(df, "id", "text", offsets=True).collect():
+        raw = (texts[r["id"]] or "").encode()
+        assert len(r["ids"]) == len(r["offsets"])
+        for a in range(len(raw) + 1):
+            for b in range(a, len(raw) + 1):
+                assert enc.decode_range(r["ids"], r["offsets"], a, b) == raw[a:b]
+
+
 @pytest.mark.parametrize(("capacity", "n"), [(10, 60), (7, 3), (2048, 30_000)])
 def test_place(capacity, n):
     rng = random.Random(n)
