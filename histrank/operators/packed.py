@@ -1,14 +1,16 @@
 """Several values packed in one field: a parsing expression grammar with ordered choice.
 
-    list    <- blank* ( '[' values ']' / '(' values ')' / values ) blank* end
-    values  <- ( delimiter / blank / value )*
-    value   <- quoted / bare
-    quoted  <- q ( escaped / doubled q / char / q !closing )* q &closing      (q: " or ' ; also typographic pairs)
-    closing <- blank* ( delimiter / end )
-    bare    <- ( !delimiter any )+                                            (error if it starts with a quote)
-
-Choice is ordered: where a quote is never closed before a delimiter or the end, the parser goes back and
-reads the value as bare with an error flag.  Repetitions are possessive, so parsing is linear.
+    list      <- blank* ( open values close / values ) blank* end        (open and close are partners)
+    values    <- ( delimiter / blank / value )*
+    value     <- quoted / bracketed / bare
+    quoted    <- q ( escaped / doubled q / char / q !closing )* q &closing    (q: " or ' ; also typographic pairs)
+    bracketed <- open ( quoted / bracketed / char )* close &closing           (kept as it stands, delimiters and all)
+    closing   <- blank* ( delimiter / end )
+    bare      <- ( !delimiter any )+                            (error if it starts with a quote or an open bracket)
+
+Choice is ordered: where a quote or bracket is never closed before a delimiter or the end, the parser goes back and
+reads the value as bare, with an error flag where the partner is missing.  Partners of brackets are found once for a
+text (the memo), and repetitions are possessive, so parsing is linear.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import types as T
 
 # Texts that stand for a missing list.
 MISSING = ("nan", "None", "null", "not_available")
-# Brackets around a whole list.
+# Brackets around a whole list or a value.
 BRACKETS = {"[": "]", "(": ")", "{": "}"}
+# Typographic quotes, opening and closing.
+QUOTES = {"“": "”", "‘": "’", "«": "»", "„": "“"}
 
 VALUES = T.ArrayType(
     T.StructType([T.StructField("value_pos", T.LongType()), T.StructField("item_value", T.StringType()), T.StructField("error", T.BooleanType())])
@@ -39,39 +43,82 @@ class Notation:
     delimiters: tuple[str, ...]
     brackets: str = "[({"
 
-    def compiled(self) -> re.Pattern:
+    def _ends(self) -> tuple[str, str, str]:
+        """Patterns: any delimiter; the characters of delimiters of one; what may follow a closed value."""
         d = "|".join(re.escape(x) for x in self.delimiters)
         single = "".join(re.escape(x) for x in self.delimiters if len(x) == 1)
-        ends = rf"[^\S{single}]*+(?:{d}|\Z)"
-        closing = rf"(?={ends})"
-        quoted = [rf'"((?:[^"\\]|\\.|""|\\|"(?!{ends}))*+)"{closing}', rf"'((?:[^'\\]|\\.|''|\\|'(?!{ends}))*+)'{closing}", rf"“((?:[^”]|”(?!{ends}))*+)”{closing}"]
+        return d, single, rf"[^\S{single}]*+(?:{d}|\Z)"
+
+    def quoted(self, ends: str) -> list[str]:
+        """Patterns of the quoted values, each with one group."""
+        close = rf"(?={ends})"
+        out = [rf'"((?:[^"\\]|\\.|""|\\|"(?!{ends}))*+)"{close}', rf"'((?:[^'\\]|\\.|''|\\|'(?!{ends}))*+)'{close}"]
+        return out + [rf"{a}((?:[^{b}]|{b}(?!{ends}))*+){b}{close}" for a, b in QUOTES.items()]
+
+    def compiled(self) -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
+        """(delimiters, quoted and bare values; an open bracket that starts a value; brackets and quoted values; an end)."""
+        d, single, ends = self._ends()
         several = [x for x in self.delimiters if len(x) > 1]
         bare = rf"((?:{''.join(f'(?!{re.escape(x)})' for x in several)}[^{single}])++)"
-        return re.compile(rf"(?:{d}|\s)++|" + "|".join(quoted) + "|" + bare, re.DOTALL)
+        values = re.compile(rf"(?:{d}|\s)++|" + "|".join([*self.quoted(ends), bare]), re.DOTALL)
+        before = rf"(?:\A|[{single}{''.join(re.escape(x[-1]) for x in several)}])"
+        inside = "|".join(self.quoted(rf"[^\S{single}]*+(?:{d}|[\])}}]|\Z)"))
+        marks = re.compile(rf"(?:(?<=[{single}{''.join(re.escape(x[-1]) for x in several)}\[({{])|\A)\s*+(?:{inside})|[\[\](){{}}]", re.DOTALL)
+        return values, re.compile(rf"{before}\s*+[\[({{]"), marks, re.compile(ends)
 
 
 IDS = Notation(("::", ",", ";", "|", "\t", "\n", "\r", " "))
 TITLES = Notation(("::", ",", ";", "|", "\t", "\n", "\r"), brackets="[")
 
 
+def _partners(text: str, marks: re.Pattern) -> dict[int, int]:
+    """Where each bracket outside quotes has its partner; brackets without one are left out."""
+    out: dict[int, int] = {}
+    waiting: list[int] = []
+    for m in marks.finditer(text):
+        at = m.end() - 1
+        if m.lastindex is not None:
+            continue  # a quoted value
+        if text[at] in BRACKETS:
+            waiting.append(at)
+        elif waiting and BRACKETS[text[waiting[-1]]] == text[at]:
+            out[waiting[-1]], out[at] = at, waiting[-1]
+            waiting.pop()
+    return out
+
+
 def parse_values(text: str | None, notation: Notation) -> list[tuple[int, str, bool]]:
     """(position, value, error) of each value in text, from left to right.
 
-    None, blank texts, an empty list and the words of MISSING give none; nothing between two
-    delimiters is no value.  A bracket without its partner is dropped and flags the values.
+    None, blank texts, an empty list and the words of MISSING give none; nothing between two delimiters is no value.
+    A bracket around the whole list that has no partner is dropped and flags all values; a value that starts
+    with a quote or bracket without partner is flagged.  A bracketed value keeps its brackets and what they hold.
     """
     if text is None:
         return []
     text = text.strip()
     if not text or text in MISSING:
         return []
-    broken = False
+    values, opens, marks, ends = _compiled(notation)
+    broken, partners = False, None
     if text[0] in notation.brackets:
-        broken = text[-1] != BRACKETS[text[0]] or len(text) < 2
-        text = text[1:] if broken else text[1:-1]
-    pattern = _compiled(notation)
+        whole = len(text) > 1 and text[-1] == BRACKETS[text[0]]
+        if not whole or any(c in text[1:-1] for c in "[](){}"):
+            partners = _partners(text, marks)
+            mate = partners.get(0)
+            # brackets that close before the end and another pair at the end: a list of bracketed values
+            whole = whole and (mate is None or mate == len(text) - 1 or partners.get(len(text) - 1) is None)
+            broken = not whole and mate is None
+        if whole or broken:
+            text, partners = text[1:-1] if whole else text[1:], None
     out: list[tuple[int, str, bool]] = []
-    for m in pattern.finditer(text):
+    bare = values.groups
+    if not opens.search(text):
+        found: Iterator[re.Match] = values.finditer(text)
+    else:
+        partners = _partners(text, marks) if partners is None else partners
+        found = _with_brackets(text, values, partners, ends)
+    for m in found:
         kind = m.lastindex
         if kind is None:
             continue
@@ -80,17 +127,32 @@ def parse_values(text: str | None, notation: Notation) -> list[tuple[int, str, b
             value = re.sub(r'\\(["\'\\])|""', lambda e: e[1] or '"', value) if '"' in value or "\\" in value else value
         elif kind == 2:
             value = re.sub(r"\\([\"'\\])|''", lambda e: e[1] or "'", value) if "'" in value or "\\" in value else value
-        elif kind == 4 and value.lstrip()[:1] in ('"', "'", "“"):
+        elif kind == bare and value.lstrip()[:1] in ('"', "'", "“"):
             value, error = value.lstrip()[1:], True
+        elif kind == bare and m.re is values and value[:1] in BRACKETS and m.start() not in partners:
+            error = True
         if value := value.strip():
             out.append((len(out), value, error))
     return out
 
 
-_CACHE: dict[Notation, re.Pattern] = {}
+def _with_brackets(text: str, values: re.Pattern, partners: dict[int, int], ends: re.Pattern) -> Iterator[re.Match]:
+    """The matches of values, with bracketed values in place of bare ones where they close at the end of a value."""
+    at = 0
+    while at < len(text):
+        if text[at] in BRACKETS and at in partners and ends.match(text, partners[at] + 1):
+            m = _ANY.match(text, at, partners[at] + 1)
+        else:
+            m = values.match(text, at)
+        yield m
+        at = m.end()
+
+
+_ANY = re.compile("(.+)", re.DOTALL)
+_CACHE: dict[Notation, tuple[re.Pattern, ...]] = {}
 
 
-def _compiled(notation: Notation) -> re.Pattern:
+def _compiled(notation: Notation) -> tuple[re.Pattern, ...]:
     if notation not in _CACHE:
         _CACHE[notation] = notation.compiled()
     return _CACHE[notation]
@@ -101,8 +163,10 @@ def packed_values(text: Column, notation: Notation) -> Column:
 
     @F.pandas_udf(VALUES)
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([[{"value_pos": p, "item_value": v, "error": e} for p, v, e in parse_values(t, notation)] for t in texts], dtype=object)
+        for texts in batches:  # texts that repeat in a batch are parsed once
+            codes, distinct = pd.factorize(texts)
+            parsed = [[{"value_pos": p, "item_value": v, "error": e} for p, v, e in parse_values(t, notation)] for t in distinct] + [[]]
+            yield pd.Series([parsed[k] for k in codes], dtype=object)
 
     return parse(text)
 

@@ -47,6 +47,18 @@ def test_titles(text, want, errors):
     assert sum(e for *_, e in got) == errors
 
 
+@pytest.mark.parametrize(
+    ("text", "want", "errors"),
+    [
+        ("[a],[b]", ["[a]", "[b]"], 0), ("(1), (2)", ["(1)", "(2)"], 0), ("[a, [b; c], d]", ["a", "[b; c]", "d"], 0), ("‘a, b’", ["a, b"], 0), ("«a; b»", ["a; b"], 0),
+        ("[New] Widget; B", ["[New] Widget", "B"], 0), ("(a, b", ["(a", "b"], 1), ('[{"a, ]": 1}, b]', ['{"a, ]": 1}', "b"], 0), ("x, (y; (z)), w", ["x", "(y; (z))", "w"], 0), ("[,[,", ["["], 1),
+    ],
+)
+def test_brackets(text, want, errors):
+    got = parse_values(text, TITLES)
+    assert [v for _, v, _ in got] == want and sum(e for *_, e in got) == errors
+
+
 WORDS = st.lists(st.text(st.sampled_from("ab,;|\"'\\x: ”é"), min_size=1, max_size=8).map(str.strip).filter(lambda x: x and x not in "\"'"), min_size=1, max_size=6)
 
 
@@ -65,6 +77,8 @@ def test_csv_round_trip(words):
 
 
 def test_long_texts_are_linear():
+    assert len(values("[," * 200_000, TITLES)) == 199_999
+    assert len(values("(a," * 100_000, IDS)) == 100_000
     assert len(values('""' * 200_000 + "x", TITLES)) == 1
     assert len(values(",".join(map(str, range(200_000))), IDS)) == 200_000
 
