@@ -1,12 +1,15 @@
 """Clusters of mutually similar vectors by Markov clustering on a sparse similarity graph.
 
-The graph has, for every node (histrank.llm.vectors), its nearest and some of the farthest similar nodes found by beam
-search.  Its column-stochastic matrix is squared (a sparse distributed product: join and sum), inflated (entries
-squared) and pruned (small entries dropped, at most ENTRIES kept in a column) until the columns settle; the strongest
-row of a column is its attractor, and nodes with one attractor are a cluster.  The flow into a node (its row sum)
-tells how typical it is.  Clusters between which the graph has a link of the wanted similarity are united, as
-steps of that similarity lead from one to the other.  An exact step follows, as a beam may be full of a node's own
-cluster: all nodes of different clusters are compared, and clusters with any such pair are united as well.
+The graph has, for every node (histrank.llm.vectors), the similar nodes found by beam search.  Its column-stochastic
+matrix is squared (a sparse distributed product: join and sum), inflated (entries squared) and pruned (small entries
+dropped, at most ENTRIES kept in a column) until attractors and flow settle; the strongest row of a column is its
+attractor, and nodes with one attractor are a cluster.  The flow into a node (its row sum) tells how typical it is.
+
+A cluster is to hold whatever steps of the wanted similarity lead to, while Markov clustering cuts such chains where
+the flow is thin.  So the links are contracted to links between attractors, and clusters with a link between them are
+united.  Two checks follow for links that the search didn't give: small clusters and loners are searched again with
+a wider beam until no new link joins two clusters, and clusters with more nodes than a beam holds are compared with all nodes
+exactly, in blocks with a centre and a radius.
 """
 
 from __future__ import annotations
@@ -14,13 +17,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from histrank.llm import vectors
+from histrank.llm import graph, vectors
 from histrank.session import materialize
 
-#: Links of each node that the matrix begins with, entries of a column that pruning keeps, and the least entry.
+#: Links of each node that the matrix begins with (and that a node with a full beam gives), entries of a column that pruning keeps, and the least entry.
 LINKS, ENTRIES, LEAST = 8, 12, 1e-3
-#: Power of the inflation, and rounds at most; it stops earlier when all columns have an entry of SETTLED.
-INFLATION, ROUNDS, SETTLED = 2.0, 6, 0.95
+#: Power of the inflation, and the mean change of the columns' strongest entries below which they have settled.
+INFLATION, SETTLED = 2.0, 1e-4
 
 
 def _columns(m: DataFrame, power: float) -> DataFrame:
@@ -39,15 +42,19 @@ def markov_clusters(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = both.withColumn("n", F.row_number().over(Window.partitionBy("col").orderBy(F.desc("cosine"), "row"))).where(F.col("n") <= LINKS).select("col", "row", F.col("cosine").alias("v"))
     loops = both.select("col").distinct().select("col", F.col("col").alias("row"), F.lit(1.0).alias("v"))
     m = materialize(_columns(near.unionByName(loops), 1.0), "matrix")
-    for _ in range(ROUNDS):
+    strongest = lambda x: x.groupBy("col").agg(F.min_by("row", F.struct(-F.col("v"), "row")).alias("attractor"), F.max("v").alias("v"))
+    summary = F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("col", "attractor")), F.lit(0)).alias("who"), F.coalesce(F.avg("v"), F.lit(1.0)).alias("mean")
+    before = strongest(m).agg(*summary).first()
+    while before["n"]:
         left = m.select(F.col("col").alias("k"), F.col("row"), F.col("v").alias("a"))
         right = m.select("col", F.col("row").alias("k"), F.col("v").alias("b"))
         square = left.join(right, "k").groupBy("col", "row").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
         m = materialize(_columns(square, INFLATION), "matrix")
-        if m.groupBy("col").agg(F.max("v").alias("v")).where(F.col("v") < SETTLED).isEmpty():
+        now = strongest(m).agg(*summary).first()
+        if now["who"] == before["who"] and abs(now["mean"] - before["mean"]) < SETTLED:
             break
-    members = m.groupBy("col").agg(F.min_by("row", F.struct(-F.col("v"), "row")).alias("attractor")).withColumnRenamed("col", "rep")
-    return members, m.groupBy(F.col("row").alias("rep")).agg(F.sum("v").alias("flow"))
+        before = now
+    return strongest(m).select(F.col("col").alias("rep"), "attractor"), m.groupBy(F.col("row").alias("rep")).agg(F.sum("v").alias("flow"))
 
 
 def united(edges: DataFrame) -> DataFrame:
@@ -78,6 +85,18 @@ def united(edges: DataFrame) -> DataFrame:
     return roots if roots is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def contracted(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """(u, v), u < v: labels between which there are links (rep, other); labels(rep, root)."""
+    ends = links.select("rep", "other").join(labels.select("rep", F.col("root").alias("a")), "rep").join(labels.select(F.col("rep").alias("other"), F.col("root").alias("b")), "other")
+    return ends.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+def merged(labels: DataFrame, bridges: DataFrame) -> DataFrame:
+    """labels(rep, root) after uniting the roots that bridges (u, v) join."""
+    roots = united(bridges).select(F.col("node").alias("root"), F.col("root").alias("new"))
+    return materialize(labels.join(roots, "root", "left").select("rep", F.coalesce("new", "root").alias("root")), "labels")
+
+
 def similarity_clusters(df: DataFrame, key: str, vector: str, dim: int, least: float, min_rows: int) -> DataFrame:
     """(row, first, n_rows, flow): every usable row in a cluster of at least min_rows rows.
 
@@ -86,17 +105,25 @@ def similarity_clusters(df: DataFrame, key: str, vector: str, dim: int, least: f
     """
     rows = materialize(vectors.usable_vectors(df, key, vector, dim), "vectors")
     nodes = materialize(vectors.nodes_of(rows, 1), "nodes")
-    graphs, shards = vectors.build_shards(nodes)
-    links = materialize(vectors.search_shards(graphs, shards, dim, near=LINKS - 2, far=2, least=least), "links")
+    index = vectors.Index(nodes, dim)
+    beam = graph.BEAM
+    links = materialize(index.search(index.placed, near=LINKS - 2, far=2, least=least, whole=True), "links")
     members, flow = markov_clusters(links)
-    members = materialize(members, "members")
-    hangs = members.select(F.col("rep").alias("u"), F.col("attractor").alias("v"))
-    whole = united(hangs.unionByName(links.select(F.col("rep").alias("u"), F.col("other").alias("v"))))
-    found = nodes.join(whole.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    found = materialize(found.select("copy", "rep", "matrix", F.coalesce("root", "rep").alias("root")), "found")
-    last = united(vectors.root_pairs(found, shards, dim, least)).select(F.col("node").alias("root"), F.col("root").alias("last"))
-    root = found.select("copy", "rep", "root").join(last, "root", "left").join(flow, "rep", "left")
-    root = root.select("copy", F.coalesce("last", "root").alias("root"), F.coalesce("flow", F.lit(0.0)).alias("flow"))
+    labels = materialize(nodes.select("rep").join(members, "rep", "left").select("rep", F.coalesce("attractor", "rep").alias("root")), "labels")
+    labels = merged(labels, contracted(links, labels))
+    while True:  # small clusters and loners: a wider beam
+        small = labels.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < graph.BEAM).select("root")
+        beam *= 2
+        found = index.search(index.placed.join(labels.join(small, "root", "left_semi").select("rep"), "rep", "left_semi"), near=beam, far=0, least=least, beam=beam)
+        bridges = materialize(contracted(found, labels), "bridges")
+        if bridges.isEmpty():
+            break
+        labels = merged(labels, bridges)
+    placed = index.placed.select("rep", "matrix", "shard").join(labels, "rep")
+    bridges = materialize(vectors.cluster_bridges(placed, index.shards, dim, least, many=graph.BEAM - 1), "bridges")
+    if not bridges.isEmpty():
+        labels = merged(labels, bridges)
+    root = nodes.select("copy", "rep").join(labels, "rep").join(flow, "rep", "left").select("copy", "root", F.coalesce("flow", F.lit(0.0)).alias("flow"))
     labelled = materialize(rows.select("row", "copy").join(root, "copy").select("row", "root", "flow"), "labelled")
     sizes = labelled.groupBy("root").agg(F.count(F.lit(1)).alias("n_rows"), F.min("row").alias("first")).where(F.col("n_rows") >= min_rows)
     return labelled.join(sizes, "root").select("row", "first", "n_rows", "flow")

@@ -1,14 +1,15 @@
-"""Most similar vectors of every vector, and clusters of mutually similar vectors.
+"""Most similar vectors of every vector.
 
 Copies (equal to 6 decimals after normalisation) are one node, so a vector that a third of the rows share costs
-one search.  Nodes are hashed to shards of about SHARD vectors; each shard gets a robust-pruned graph
-(histrank.llm.graph), and the nodes of every shard are searched by beam in every shard.
+one search.  Nodes belong to the cell of their nearest centroid (spherical k-means on a bounded sample); a cell with more
+than SHARD nodes is split by hash.  Each shard gets a robust-pruned graph (histrank.llm.graph), and every node is
+searched by beam in the shards of its PROBES nearest cells only, so the work grows in proportion to the nodes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,16 @@ from pyspark.sql import functions as F
 from histrank.llm import graph
 from histrank.session import materialize
 
-#: Vectors of a shard (what one task builds a graph of).
-SHARD = 16_384
+#: Nodes of a shard at most on average (what one task builds a graph of), nodes for which there is one cell, and cells at most.
+SHARD, CELL, MAX_CELLS = 16_384, 4_096, 4_096
+#: Nodes that the centroids are fitted on (the bound of the sample), and rounds of k-means.
+SAMPLE, ROUNDS = 65_536, 10
+#: Cells that a node is searched in.
+PROBES = 3
+#: Searches of one task.
+QUERIES = 65_536
+#: Nodes of a block of a cluster in the exact step.
+BLOCK_ROWS = 1_024
 #: More than the error of a cosine in single precision.
 DOUBT = 1e-5
 
@@ -51,126 +60,178 @@ def nodes_of(rows: DataFrame, members: int) -> DataFrame:
     return first.groupBy("copy").agg(F.min("row").alias("rep"), F.array_sort(F.collect_list("row")).alias("members"), F.min_by("matrix", "row").alias("matrix"))
 
 
-def build_shards(nodes: DataFrame) -> tuple[DataFrame, int]:
-    """(shard, ids, vectors, links, entries) with one row for each shard, and their number."""
-    shards = max(1, -(-nodes.count() // SHARD))
-    dim = "ids binary, vectors binary, links binary, entries binary"
+def fit_cells(sample: np.ndarray, cells: int) -> np.ndarray:
+    """Centroids (unit vectors, at most `cells`) of the unit vectors of sample by spherical k-means; empty ones are dropped."""
+    if cells < 2 or len(sample) < 2:
+        return np.eye(1, sample.shape[1], dtype=np.float32)
+    rng = np.random.default_rng(11)
+    centroids = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)]
+    for _ in range(ROUNDS):
+        home = np.concatenate([(sample[i : i + 4096] @ centroids.T).argmax(axis=1) for i in range(0, len(sample), 4096)])
+        sums = np.zeros_like(centroids, dtype=np.float64)
+        np.add.at(sums, home, sample)
+        size = np.linalg.norm(sums, axis=1)
+        centroids = (sums[size > 0] / size[size > 0, None]).astype(np.float32)
+    return centroids
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]  # the rows of one shard
-        if parts:
-            pdf = pd.concat(parts).sort_values("rep")
-            m = np.stack(pdf.matrix.to_numpy()).astype(np.float32)
-            links, entries = graph.build(unit(m).astype(np.float32))
-            row = [int(pdf.shard.iloc[0]), pdf.rep.to_numpy(np.int64).tobytes(), m.tobytes(), links.tobytes(), entries.tobytes()]
-            yield pd.DataFrame([row], columns=["shard", "ids", "vectors", "links", "entries"])
-
-    placed = nodes.select("rep", "matrix", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"))
-    return materialize(placed.repartitionById(shards, F.col("shard")).mapInPandas(run, f"shard int, {dim}"), "graphs"), shards
 
+class Index:
+    """Graphs over the nodes (rep, matrix), and searches in them.
 
-def search_shards(graphs: DataFrame, shards: int, dim: int, near: int, far: int, least: float) -> DataFrame:
-    """(rep, other, cosine): for each node and shard its `near` nearest and the `far` farthest of the beam, of cosine >= least.
-
-    Cosines are exact (double precision), rounded to 6 digits.  Each task holds one graph and one shard's nodes.
+    placed: (rep, matrix, cell, probes, shard) of each node; cells (cell, first, parts) tells which shards a cell has and has at most
+    MAX_CELLS rows, so it may be broadcast.
     """
-    crossed = graphs.withColumn("mate", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    index = crossed.select((F.col("shard") * shards + F.col("mate")).alias("pair"), F.lit(True).alias("index"), "ids", "vectors", "links", "entries")
-    none = F.lit(None).cast("binary")
-    query = crossed.select((F.col("mate") * shards + F.col("shard")).alias("pair"), F.lit(False).alias("index"), "ids", "vectors", none.alias("links"), none.alias("entries"))
-    both = index.unionByName(query).repartitionById(shards * shards, F.col("pair"))
-
-    def search(x: pd.Series, q: pd.Series) -> Iterator[pd.DataFrame]:
-        ids, qids = np.frombuffer(x.ids, np.int64), np.frombuffer(q.ids, np.int64)
-        exact, qexact = (unit(np.frombuffer(v, np.float32).reshape(-1, dim)) for v in (x.vectors, q.vectors))
-        vecs, qvecs = exact.astype(np.float32), qexact.astype(np.float32)
-        links, entries = np.frombuffer(x.links, np.int32).reshape(len(ids), -1), np.frombuffer(x.entries, np.int32)
-        for at in range(0, len(qids), graph.BLOCK):
-            found, _ = graph.beam_search(qvecs[at : at + graph.BLOCK], vecs, links, entries, graph.BEAM)
-            mine = qids[at : at + graph.BLOCK]
-            cos = np.einsum("nj,nkj->nk", qexact[at : at + graph.BLOCK], exact[np.maximum(found, 0)])
-            cos = np.round(cos, 6)
-            cos[(found < 0) | (ids[np.maximum(found, 0)] == mine[:, None]) | (cos < least)] = -2
-            order = np.lexsort((ids[np.maximum(found, 0)], -cos), axis=1)
-            cos, found = np.take_along_axis(cos, order, 1), np.take_along_axis(found, order, 1)
-            good = (cos > -2).sum(axis=1)
-            place = np.arange(cos.shape[1])[None, :]
-            r, c = np.nonzero((place < good[:, None]) & ((place < near) | (place >= good[:, None] - far)))
-            yield pd.DataFrame({"rep": mine[r], "other": ids[found[r, c]], "cosine": cos[r, c]})
-
-    return both.mapInPandas(_mated(search), "rep bigint, other bigint, cosine double")
-
-
-def _mated(search: Callable[[pd.Series, pd.Series], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A function for mapInPandas that calls search with the two rows of each pair, that of the index first."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: dict[tuple[int, bool], pd.Series] = {}
-        for b in batches:
-            for _, row in b.iterrows():
-                p, i = int(row.pair), bool(row["index"])
-                if (p, not i) in waiting:
-                    mate = waiting.pop((p, not i))
-                    yield from search(row, mate) if i else search(mate, row)
-                else:
-                    waiting[p, i] = row
-
-    return run
-
 
-def root_pairs(nodes: DataFrame, shards: int, dim: int, least: float) -> DataFrame:
-    """(u, v), u < v: the roots of nodes(rep, root, matrix) between which any two nodes have a cosine >= least.
-
-    Exact: all nodes meet all nodes in blocks of matrix products, and what single precision leaves in doubt is
-    computed in double precision.  Each task holds two shards; blocks within one root are skipped.
+    def __init__(self, nodes: DataFrame, dim: int):
+        self.dim, spark, n = dim, nodes.sparkSession, nodes.count()
+        cells = min(MAX_CELLS, -(-n // CELL))
+        sample = nodes.orderBy(F.xxhash64("rep", F.lit(7)), "rep").limit(SAMPLE).select("matrix").toPandas() if cells > 1 else None
+        centroids = fit_cells(unit(np.stack(sample.matrix.to_numpy())).astype(np.float32) if cells > 1 else np.zeros((0, dim), np.float32), cells)
+        probes = min(PROBES, len(centroids))
+
+        def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    near = unit(np.stack(b.matrix.to_numpy())).astype(np.float32) @ centroids.T
+                    order = np.argsort(-near, axis=1, kind="stable")[:, :probes].astype(np.int32)
+                    yield b.assign(cell=order[:, 0], probes=list(order))
+
+        at_home = materialize(nodes.select("rep", "matrix").mapInPandas(home, "rep bigint, matrix array<float>, cell int, probes array<int>"), "cells")
+        first, shapes = 0, []
+        for r in at_home.groupBy("cell").count().orderBy("cell").collect():
+            parts = -(-r["count"] // SHARD)
+            shapes.append((r["cell"], first, parts))
+            first += parts
+        self.shards = max(1, first)
+        self.cells = spark.createDataFrame(shapes, "cell int, first int, parts int")
+        self.placed = at_home.join(F.broadcast(self.cells), "cell").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int")).drop("first", "parts")
+        self.graphs = self._build()
+
+    def _build(self) -> DataFrame:
+        """(shard, ids, vectors, links, entries) with one row for each shard."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = [b for b in batches if len(b)]  # the rows of one shard
+            if parts:
+                pdf = pd.concat(parts).sort_values("rep")
+                m = np.stack(pdf.matrix.to_numpy()).astype(np.float32)
+                links, entries = graph.build(unit(m).astype(np.float32))
+                row = [int(pdf.shard.iloc[0]), pdf.rep.to_numpy(np.int64).tobytes(), m.tobytes(), links.tobytes(), entries.tobytes()]
+                yield pd.DataFrame([row], columns=["shard", "ids", "vectors", "links", "entries"])
+
+        placed = self.placed.select("rep", "matrix", "shard").repartitionById(self.shards, F.col("shard"))
+        return materialize(placed.mapInPandas(run, "shard int, ids binary, vectors binary, links binary, entries binary"), "graphs")
+
+    def search(self, asked: DataFrame, near: int, far: int, least: float, beam: int = graph.BEAM, whole: bool = False) -> DataFrame:
+        """(rep, other, cosine): for each asked node and shard its `near` nearest and the `far` farthest of the beam, of cosine >= least.
+
+        asked has rows of placed.  whole: where the beam isn't full of such nodes, all of them.  Cosines are exact (double
+        precision), rounded to 6 digits.  Each task holds one graph and at most about QUERIES nodes.
+        """
+        dim = self.dim
+        sent = asked.select("rep", "matrix", F.explode("probes").alias("cell")).join(F.broadcast(self.cells), "cell")
+        sent = sent.select("rep", "matrix", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("shard"))
+        shapes, first = [], 0
+        for r in sent.groupBy("shard").count().orderBy("shard").collect():  # one row for each shard
+            shapes.append((r["shard"], first, -(-r["count"] // QUERIES)))
+            first += shapes[-1][2]
+        tasks = asked.sparkSession.createDataFrame(shapes, "shard int, first int, parts int")
+        none = F.lit(None).cast("binary")
+        index = self.graphs.join(tasks, "shard").select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("task"), F.lit(False).alias("query"), F.lit(None).cast("bigint").alias("rep"), F.lit(None).cast("array<float>").alias("matrix"), "ids", "vectors", "links", "entries")
+        query = sent.join(F.broadcast(tasks), "shard").select((F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int").alias("task"), F.lit(True).alias("query"), "rep", "matrix", *[none.alias(c) for c in ("ids", "vectors", "links", "entries")])
+        both = index.unionByName(query).repartitionById(max(1, first), F.col("task")).sortWithinPartitions("query")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            graph_of = None
+            for b in batches:
+                if graph_of is None and len(b):  # the graph comes first, then its queries
+                    x, b = b.iloc[0], b.iloc[1:]
+                    exact = unit(np.frombuffer(x.vectors, np.float32).reshape(-1, dim))
+                    ids = np.frombuffer(x.ids, np.int64)
+                    graph_of = exact.astype(np.float32), np.frombuffer(x.links, np.int32).reshape(len(ids), -1), np.frombuffer(x.entries, np.int32)
+                for at in range(0, len(b), graph.BLOCK):
+                    part = b.iloc[at : at + graph.BLOCK]
+                    mine, q = part.rep.to_numpy(np.int64), unit(np.stack(part.matrix.to_numpy()))
+                    found, _ = graph.beam_search(q.astype(np.float32), *graph_of, beam)
+                    other = ids[np.maximum(found, 0)]
+                    cos = np.round(np.einsum("nj,nkj->nk", q, exact[np.maximum(found, 0)]), 6)
+                    cos[(found < 0) | (other == mine[:, None]) | (cos < least)] = -2
+                    order = np.lexsort((other, -cos), axis=1)
+                    cos, other = np.take_along_axis(cos, order, 1), np.take_along_axis(other, order, 1)
+                    good = (cos > -2).sum(axis=1)[:, None]
+                    place = np.arange(cos.shape[1])[None, :]
+                    keep = (place < near) | (place >= good - far)
+                    if whole:
+                        keep |= good < beam - 1
+                    r, c = np.nonzero((place < good) & keep)
+                    yield pd.DataFrame({"rep": mine[r], "other": other[r, c], "cosine": cos[r, c]})
+
+        return both.mapInPandas(run, "rep bigint, other bigint, cosine double")
+
+
+def cluster_bridges(nodes: DataFrame, shards: int, dim: int, least: float, many: int) -> DataFrame:
+    """(u, v), u < v: roots of nodes(rep, root, matrix, shard), one of them with more than `many` nodes, between which any two nodes have a cosine >= least.
+
+    Exact.  The nodes of large roots are packed in blocks with a centre and a radius; a node can be similar to one of a block
+    only if its angle to the centre is at most the radius plus that of `least` (triangle inequality).  Nodes that pass
+    meet the block in a matrix product; what single precision leaves in doubt is computed in double precision.
     """
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > many).select("root", F.ceil(F.col("n") / BLOCK_ROWS).alias("parts"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(pdf.matrix.to_numpy()).astype(np.float32)
+        u = unit(m)
+        centre = u.sum(axis=0)
+        centre = centre / np.linalg.norm(centre) if np.linalg.norm(centre) > 1e-9 else u[0]
+        radius = float(np.arccos(np.clip((u @ centre).min(), -1, 1)))
+        return pd.DataFrame([[pdf.root.iloc[0], int(pdf.part.iloc[0]), centre, radius, m.tobytes()]], columns=["root", "part", "centre", "radius", "vectors"])
+
+    large = nodes.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    blocks = large.select("root", "part", "matrix").groupBy("root", "part").applyInPandas(pack, "root bigint, part int, centre array<double>, radius double, vectors binary")
+    blocks = materialize(blocks.withColumn("block", F.xxhash64("root", "part")), "blocks")
+    chunks = -(-blocks.count() // BLOCK_ROWS)
+    if not chunks:
+        return nodes.select(F.col("root").alias("u"), F.col("root").alias("v")).where("false")
+    bounds = blocks.groupBy(F.pmod("block", F.lit(chunks)).cast("int").alias("chunk")).agg(F.collect_list(F.struct("block", "root", "centre", "radius")).alias("bounds"))
+
+    def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]  # the rows of one shard
         if parts:
-            pdf = pd.concat(parts).sort_values(["root", "rep"])
+            pdf = pd.concat(parts)
             m = np.stack(pdf.matrix.to_numpy()).astype(np.float32)
-            yield pd.DataFrame([[int(pdf.shard.iloc[0]), pdf.root.to_numpy(np.int64).tobytes(), m.tobytes()]], columns=["shard", "roots", "vectors"])
-
-    placed = nodes.select("rep", "root", "matrix", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"))
-    packed = materialize(placed.repartitionById(shards, F.col("shard")).mapInPandas(pack, "shard int, roots binary, vectors binary"), "packed")
-    crossed = packed.withColumn("mate", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    index = crossed.where("shard <= mate").select((F.col("shard") * shards + F.col("mate")).alias("pair"), F.lit(True).alias("index"), "shard", "roots", "vectors")
-    query = crossed.where("mate <= shard").select((F.col("mate") * shards + F.col("shard")).alias("pair"), F.lit(False).alias("index"), "shard", "roots", "vectors")
-
-    def search(x: pd.Series, q: pd.Series) -> Iterator[pd.DataFrame]:
-        a, b = np.frombuffer(x.roots, np.int64), np.frombuffer(q.roots, np.int64)
-        exact, qexact = (unit(np.frombuffer(v, np.float32).reshape(-1, dim)) for v in (x.vectors, q.vectors))
-        vecs, qvecs = exact.astype(np.float32), qexact.astype(np.float32)
-        met: set[tuple[int, int]] = set()
-
-        def new(r: np.ndarray, c: np.ndarray) -> set[tuple[int, int]]:
-            both = np.unique(np.stack([np.minimum(b[r], a[c]), np.maximum(b[r], a[c])], axis=1), axis=0)
-            return set(map(tuple, both.tolist())) - met
-
-        for i in range(0, len(b), graph.BLOCK):
-            rb = b[i : i + graph.BLOCK]
-            for j in range(i if x.shard == q.shard else 0, len(a), graph.BLOCK):
-                ra = a[j : j + graph.BLOCK]
-                if rb[0] == rb[-1] == ra[0] == ra[-1]:  # roots are in order
-                    continue
-                cos = qvecs[i : i + graph.BLOCK] @ vecs[j : j + graph.BLOCK].T
-                hit = cos >= least - DOUBT
-                if not hit.any():
-                    continue
-                hit &= rb[:, None] != ra[None, :]
-                r, c = np.nonzero(hit)
-                sure = cos[r, c] >= least + DOUBT
-                met |= new(r[sure] + i, c[sure] + j)
-                r, c = r[~sure] + i, c[~sure] + j
-                for at in range(0, len(r), 65_536):
-                    p, s = r[at : at + 65_536], c[at : at + 65_536]
-                    near = np.round(np.einsum("nj,nj->n", qexact[p], exact[s]), 6) >= least
-                    met |= new(p[near], s[near])
-        yield pd.DataFrame(sorted(met), columns=["u", "v"], dtype=np.int64)
-
-    both = index.unionByName(query).repartitionById(shards * shards, F.col("pair"))
-    return both.mapInPandas(_mated(search), "u bigint, v bigint").distinct()
+            yield pd.DataFrame([[pdf.root.to_numpy(np.int64).tobytes(), m.tobytes()]], columns=["roots", "vectors"])
+
+    packed = nodes.select("root", "matrix", "shard").repartitionById(shards, F.col("shard")).mapInPandas(shard, "roots binary, vectors binary")
+    met = packed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(bounds, "chunk")
+    angle = float(np.arccos(least))
+
+    def passing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples():
+                roots, m = np.frombuffer(row.roots, np.int64), np.frombuffer(row.vectors, np.float32).reshape(-1, dim)
+                centres = np.array([x["centre"] for x in row.bounds])
+                theirs = np.array([x["root"] for x in row.bounds])
+                reach = np.cos(np.minimum(np.pi, np.array([x["radius"] for x in row.bounds]) + angle)) - DOUBT
+                near = (unit(m) @ centres.T >= reach[None, :]) & (roots[:, None] != theirs[None, :])
+                for k in np.flatnonzero(near.any(axis=0)):
+                    at = near[:, k]
+                    yield pd.DataFrame([[row.bounds[k]["block"], roots[at].tobytes(), m[at].tobytes()]], columns=["block", "roots", "near"])
+
+    left = met.mapInPandas(passing, "block bigint, roots binary, near binary")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples():
+                x, q = (unit(np.frombuffer(v, np.float32).reshape(-1, dim)) for v in (row.vectors, row.near))
+                roots, found = np.frombuffer(row.roots, np.int64), set()
+                for at in range(0, len(q), graph.BLOCK):
+                    cos = (q[at : at + graph.BLOCK].astype(np.float32) @ x.astype(np.float32).T).max(axis=1)
+                    for i in np.flatnonzero(cos >= least - DOUBT) + at:
+                        if roots[i] not in found and (cos[i - at] >= least + DOUBT or (np.round(x @ q[i], 6) >= least).any()):
+                            found.add(roots[i])
+                yield pd.DataFrame({"u": [min(r, row.root) for r in found], "v": [max(r, row.root) for r in found]}, dtype=np.int64)
+
+    return left.join(blocks.select("block", "root", "vectors"), "block").mapInPandas(compare, "u bigint, v bigint").distinct()
 
 
 def nearest_rows(df: DataFrame, key: str, vector: str, dim: int, k: int, least: float) -> DataFrame:
@@ -180,8 +241,8 @@ def nearest_rows(df: DataFrame, key: str, vector: str, dim: int, k: int, least:
     """
     rows = materialize(usable_vectors(df, key, vector, dim), "vectors")
     nodes = materialize(nodes_of(rows, k + 1), "nodes")
-    graphs, shards = build_shards(nodes)
-    found = materialize(search_shards(graphs, shards, dim, near=k, far=0, least=least), "found")
+    index = Index(nodes, dim)
+    found = materialize(index.search(index.placed, near=k, far=0, least=least), "found")
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("cosine"), "other"))).where(F.col("r") <= k)
     others = best.join(nodes.select(F.col("rep").alias("other"), F.slice("members", 1, k).alias("rows")), "other")
     others = others.select("rep", (-F.col("cosine")).alias("d"), F.explode("rows").alias("row"))

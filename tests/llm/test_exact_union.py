@@ -18,6 +18,7 @@ def dense_groups(cosine):
 @pytest.mark.parametrize("shard", [100_000, 150])
 def test_dense_groups(spark, monkeypatch, cosine, groups, shard):
     monkeypatch.setattr(vectors, "SHARD", shard)
+    monkeypatch.setattr(vectors, "CELL", shard)
     m, u = dense_groups(cosine)
     cross = u[:200] @ u[200:].T
     assert (cross >= 0.8).all() if groups == 1 else (cross < 0.8).all()

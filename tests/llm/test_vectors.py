@@ -40,6 +40,7 @@ def test_nearest(spark, data, monkeypatch):
         want |= {(int(ids[i]), int(ids[j])) for j in near}
     for shard in (100_000, 150):  # one shard, several shards
         monkeypatch.setattr(vectors, "SHARD", shard)
+        monkeypatch.setattr(vectors, "CELL", shard)
         got = {(r["row"], r["other"]) for r in vectors.nearest_rows(frame(spark, data), "id", "v", 16, 5, 0.8).collect()}
         assert len(got & want) >= 0.98 * len(want) and len(got & want) >= 0.98 * len(got)
         assert {p for p in got if p[0] >= 2000} == {p for p in want if p[0] >= 2000}  # ties of copies go to the smaller rows
