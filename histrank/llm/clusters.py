@@ -1,15 +1,15 @@
 """Clusters of mutually similar vectors by Markov clustering on a sparse similarity graph.
 
-The graph has, for every node (histrank.llm.vectors), the similar nodes found by beam search.  Its column-stochastic
+The graph has, for every node (histrank.llm.vectors), the similar nodes of the nearest cells, found by matrix products.  Its column-stochastic
 matrix is squared (a sparse distributed product: join and sum), inflated (entries squared) and pruned (small entries
 dropped, at most ENTRIES kept in a column) until attractors and flow settle; the strongest row of a column is its
 attractor, and nodes with one attractor are a cluster.  The flow into a node (its row sum) tells how typical it is.
 
 A cluster is to hold whatever steps of the wanted similarity lead to, while Markov clustering cuts such chains where
 the flow is thin.  So the links are contracted to links between attractors, and clusters with a link between them are
-united.  Two checks follow for links that the search didn't give: small clusters and loners are searched again with
-a wider beam until no new link joins two clusters, and clusters with more nodes than a beam holds are compared with all nodes
-exactly, in blocks with a centre and a radius.
+united.  Two checks follow for links that the graph hasn't: large clusters (whose nodes give some of their links only) are
+compared with all nodes exactly, in blocks with a centre and a radius, and small clusters and loners (whose nodes give all
+links) are compared in more and more cells until no new link joins two clusters.
 """
 
 from __future__ import annotations
@@ -17,11 +17,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from histrank.llm import graph, vectors
+from histrank.llm import vectors
 from histrank.session import materialize
 
-#: Links of each node that the matrix begins with (and that a node with a full beam gives), entries of a column that pruning keeps, and the least entry.
+#: Links of each node that the matrix begins with, entries of a column that pruning keeps, and the least entry.
 LINKS, ENTRIES, LEAST = 8, 12, 1e-3
+#: Nodes that a small cluster has at most; a node with more links in a shard gives LINKS of them only.
+LARGE = 40
+#: Cells that small clusters and loners are compared in at most.
+WIDEST = 48
 #: Power of the inflation, and the mean change of the columns' strongest entries below which they have settled.
 INFLATION, SETTLED = 2.0, 1e-4
 
@@ -105,24 +109,23 @@ def similarity_clusters(df: DataFrame, key: str, vector: str, dim: int, least: f
     """
     rows = materialize(vectors.usable_vectors(df, key, vector, dim), "vectors")
     nodes = materialize(vectors.nodes_of(rows, 1), "nodes")
-    index = vectors.Index(nodes, dim)
-    beam = graph.BEAM
-    links = materialize(index.search(index.placed, near=LINKS - 2, far=2, least=least, whole=True), "links")
+    cells = vectors.Cells(nodes, dim, probes=WIDEST)
+    links = materialize(cells.links(near=LINKS - 2, far=2, least=least, full=LARGE), "links")
     members, flow = markov_clusters(links)
     labels = materialize(nodes.select("rep").join(members, "rep", "left").select("rep", F.coalesce("attractor", "rep").alias("root")), "labels")
     labels = merged(labels, contracted(links, labels))
-    while True:  # small clusters and loners: a wider beam
-        small = labels.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < graph.BEAM).select("root")
-        beam *= 2
-        found = index.search(index.placed.join(labels.join(small, "root", "left_semi").select("rep"), "rep", "left_semi"), near=beam, far=0, least=least, beam=beam)
-        bridges = materialize(contracted(found, labels), "bridges")
+    placed = cells.placed.join(labels, "rep")
+    bridges = materialize(vectors.cluster_bridges(placed.select("rep", "root", "matrix", "shard"), cells.shards, dim, least, many=LARGE), "bridges")
+    if not bridges.isEmpty():
+        labels = merged(labels, bridges)
+    probes = vectors.PROBES
+    while probes < min(cells.n_cells, WIDEST):  # small clusters and loners: more cells
+        probes *= 2
+        small = labels.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= LARGE).select("root")
+        bridges = materialize(cells.bridges(cells.placed.join(labels.join(small, "root", "left_semi"), "rep"), probes, least), "bridges")
         if bridges.isEmpty():
             break
         labels = merged(labels, bridges)
-    placed = index.placed.select("rep", "matrix", "shard").join(labels, "rep")
-    bridges = materialize(vectors.cluster_bridges(placed, index.shards, dim, least, many=graph.BEAM - 1), "bridges")
-    if not bridges.isEmpty():
-        labels = merged(labels, bridges)
     root = nodes.select("copy", "rep").join(labels, "rep").join(flow, "rep", "left").select("copy", "root", F.coalesce("flow", F.lit(0.0)).alias("flow"))
     labelled = materialize(rows.select("row", "copy").join(root, "copy").select("row", "root", "flow"), "labelled")
     sizes = labelled.groupBy("root").agg(F.count(F.lit(1)).alias("n_rows"), F.min("row").alias("first")).where(F.col("n_rows") >= min_rows)

@@ -1,7 +1,8 @@
 """Most similar vectors of every vector.
 
 Copies (equal to 6 decimals after normalisation) are one node, so a vector that a third of the rows share costs
-one search.  Nodes belong to the cell of their nearest centroid (spherical k-means on a bounded sample); a cell with more
+one search.  Nodes belong to the cell of their nearest centroid (spherical k-means on a bounded sample); a cell is a group of near
+centroids, and one with more
 than SHARD nodes is split by hash.  Each shard gets a robust-pruned graph (histrank.llm.graph), and every node is
 searched by beam in the shards of its PROBES nearest cells only, so the work grows in proportion to the nodes.
 """
@@ -9,22 +10,27 @@ searched by beam in the shards of its PROBES nearest cells only, so the work gro
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from histrank.llm import graph
 from histrank.session import materialize
 
-#: Nodes of a shard at most on average (what one task builds a graph of), nodes for which there is one cell, and cells at most.
-SHARD, CELL, MAX_CELLS = 16_384, 4_096, 4_096
+#: Nodes of a cell at most, as the sample has it, and of a shard on average (what one task builds a graph of).
+CELL, SHARD = 8_192, 16_384
+#: Centroids at most, and nodes for each.
+CENTROIDS, NODES_A_CENTROID = 4_096, 16
 #: Nodes that the centroids are fitted on (the bound of the sample), and rounds of k-means.
-SAMPLE, ROUNDS = 65_536, 10
+SAMPLE, ROUNDS = 32_768, 4
 #: Cells that a node is searched in.
-PROBES = 3
+PROBES = 4
+#: Length of the beam of a search; in a dense cell it has to be longer than when the graph is built.
+SEARCH_BEAM = 100
 #: Searches of one task.
 QUERIES = 65_536
 #: Nodes of a block of a cluster in the exact step.
@@ -60,41 +66,65 @@ def nodes_of(rows: DataFrame, members: int) -> DataFrame:
     return first.groupBy("copy").agg(F.min("row").alias("rep"), F.array_sort(F.collect_list("row")).alias("members"), F.min_by("matrix", "row").alias("matrix"))
 
 
-def fit_cells(sample: np.ndarray, cells: int) -> np.ndarray:
-    """Centroids (unit vectors, at most `cells`) of the unit vectors of sample by spherical k-means; empty ones are dropped."""
-    if cells < 2 or len(sample) < 2:
-        return np.eye(1, sample.shape[1], dtype=np.float32)
-    rng = np.random.default_rng(11)
-    centroids = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)]
+def k_means(x: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, weight of each): at most k unit vectors by spherical k-means on the unit vectors x; empty ones are dropped."""
+    centroids = x[np.random.default_rng(11).choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(ROUNDS):
-        home = np.concatenate([(sample[i : i + 4096] @ centroids.T).argmax(axis=1) for i in range(0, len(sample), 4096)])
-        sums = np.zeros_like(centroids, dtype=np.float64)
-        np.add.at(sums, home, sample)
-        size = np.linalg.norm(sums, axis=1)
-        centroids = (sums[size > 0] / size[size > 0, None]).astype(np.float32)
-    return centroids
+        home = homes(x, centroids)
+        sums = np.stack([np.bincount(home, x[:, j] * weight, len(centroids)) for j in range(x.shape[1])], axis=1)
+        size, held = np.linalg.norm(sums, axis=1), np.bincount(home, weight, len(centroids))
+        centroids, held = (sums[size > 0] / size[size > 0, None]).astype(np.float32), held[size > 0]
+    return centroids, held
 
 
-class Index:
-    """Graphs over the nodes (rep, matrix), and searches in them.
+def homes(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row of x."""
+    return np.concatenate([(x[i : i + 2048] @ centroids.T).argmax(axis=1) for i in range(0, len(x), 2048)])
 
-    placed: (rep, matrix, cell, probes, shard) of each node; cells (cell, first, parts) tells which shards a cell has and has at most
-    MAX_CELLS rows, so it may be broadcast.
+
+def fit_cells(sample: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, first centroid of each cell) for n nodes, of which the rows of sample are some.
+
+    There are many centroids, so that even a small group of similar nodes has its own; a cell is a group of near centroids
+    that stand for at most CELL nodes, found by halving.
+    """
+    k = min(CENTROIDS, n // NODES_A_CENTROID)
+    if k < 2:
+        return np.eye(1, sample.shape[1], dtype=np.float32), np.zeros(1, np.int64)
+    centroids, held = k_means(sample, np.full(len(sample), n / len(sample)), k)
+    cells, todo = [], [np.arange(len(centroids))]
+    while todo:
+        some = todo.pop()
+        if held[some].sum() > CELL and len(some) > 1:
+            halves = homes(centroids[some], k_means(centroids[some], held[some], 2)[0])
+            if 0 < halves.sum() < len(some):
+                todo += [some[halves == 0], some[halves == 1]]
+                continue
+        cells.append(some)
+    return centroids[np.concatenate(cells)], np.concatenate([[0], np.cumsum([len(c) for c in cells])[:-1]])
+
+
+class Cells:
+    """The nodes (rep, matrix) by cells and shards, and their meetings with the shards of near cells.
+
+    placed: (rep, matrix, cell, probes, shard) of each node, probes naming all cells, nearest first; cells (cell, first, parts)
+    tells which shards a cell has.  It has at most CENTROIDS rows, so it may be broadcast.
     """
 
-    def __init__(self, nodes: DataFrame, dim: int):
-        self.dim, spark, n = dim, nodes.sparkSession, nodes.count()
-        cells = min(MAX_CELLS, -(-n // CELL))
-        sample = nodes.orderBy(F.xxhash64("rep", F.lit(7)), "rep").limit(SAMPLE).select("matrix").toPandas() if cells > 1 else None
-        centroids = fit_cells(unit(np.stack(sample.matrix.to_numpy())).astype(np.float32) if cells > 1 else np.zeros((0, dim), np.float32), cells)
-        probes = min(PROBES, len(centroids))
+    def __init__(self, nodes: DataFrame, dim: int, probes: int):
+        self.dim, n = dim, nodes.count()
+        sample = nodes.orderBy(F.xxhash64("rep", F.lit(7)), "rep").limit(SAMPLE).select("matrix").toPandas() if n > CELL else None
+        vectors = unit(np.stack(sample.matrix.to_numpy())).astype(np.float32) if n > CELL else np.zeros((0, dim), np.float32)
+        centroids, starts = fit_cells(vectors, n if n > CELL else 0)
+        self.n_cells = len(starts)
 
         def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                if len(b):
-                    near = unit(np.stack(b.matrix.to_numpy())).astype(np.float32) @ centroids.T
+                for at in range(0, len(b), 2048):
+                    part = b.iloc[at : at + 2048]
+                    near = np.maximum.reduceat(unit(np.stack(part.matrix.to_numpy())).astype(np.float32) @ centroids.T, starts, axis=1)
                     order = np.argsort(-near, axis=1, kind="stable")[:, :probes].astype(np.int32)
-                    yield b.assign(cell=order[:, 0], probes=list(order))
+                    yield part.assign(cell=order[:, 0], probes=list(order))
 
         at_home = materialize(nodes.select("rep", "matrix").mapInPandas(home, "rep bigint, matrix array<float>, cell int, probes array<int>"), "cells")
         first, shapes = 0, []
@@ -103,70 +133,135 @@ class Index:
             shapes.append((r["cell"], first, parts))
             first += parts
         self.shards = max(1, first)
-        self.cells = spark.createDataFrame(shapes, "cell int, first int, parts int")
+        self.cells = nodes.sparkSession.createDataFrame(shapes, "cell int, first int, parts int")
         self.placed = at_home.join(F.broadcast(self.cells), "cell").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int")).drop("first", "parts")
-        self.graphs = self._build()
 
-    def _build(self) -> DataFrame:
-        """(shard, ids, vectors, links, entries) with one row for each shard."""
+    def packed(self, rows: DataFrame, make: Callable[[pd.DataFrame, np.ndarray], dict[str, np.ndarray]], names: Sequence[str]) -> DataFrame:
+        """One row for each shard of rows(rep, matrix, shard, ...): the arrays that make gives for its rows and vectors."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parts = [b for b in batches if len(b)]  # the rows of one shard
             if parts:
                 pdf = pd.concat(parts).sort_values("rep")
-                m = np.stack(pdf.matrix.to_numpy()).astype(np.float32)
-                links, entries = graph.build(unit(m).astype(np.float32))
-                row = [int(pdf.shard.iloc[0]), pdf.rep.to_numpy(np.int64).tobytes(), m.tobytes(), links.tobytes(), entries.tobytes()]
-                yield pd.DataFrame([row], columns=["shard", "ids", "vectors", "links", "entries"])
+                arrays = make(pdf, np.stack(pdf.matrix.to_numpy()).astype(np.float32))
+                yield pd.DataFrame([[int(pdf.shard.iloc[0]), *(arrays[n].tobytes() for n in names)]], columns=["shard", *names])
 
-        placed = self.placed.select("rep", "matrix", "shard").repartitionById(self.shards, F.col("shard"))
-        return materialize(placed.mapInPandas(run, "shard int, ids binary, vectors binary, links binary, entries binary"), "graphs")
+        schema = ", ".join(["shard int", *(f"{n} binary" for n in names)])
+        return materialize(rows.repartitionById(self.shards, F.col("shard")).mapInPandas(run, schema), "shards")
 
-    def search(self, asked: DataFrame, near: int, far: int, least: float, beam: int = graph.BEAM, whole: bool = False) -> DataFrame:
-        """(rep, other, cosine): for each asked node and shard its `near` nearest and the `far` farthest of the beam, of cosine >= least.
+    def meet(self, index: DataFrame, asked: DataFrame, probes: Column, answer: Callable[[pd.Series, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+        """What answer(row of index, blocks of asked nodes) gives for each shard and the nodes that ask in one of its cells.
 
-        asked has rows of placed.  whole: where the beam isn't full of such nodes, all of them.  Cosines are exact (double
-        precision), rounded to 6 digits.  Each task holds one graph and at most about QUERIES nodes.
+        index has one row for each shard (packed); asked has (rep, matrix, ...) and the array probes of cells.  Each task holds
+        one row of the index and at most about QUERIES nodes.
         """
-        dim = self.dim
-        sent = asked.select("rep", "matrix", F.explode("probes").alias("cell")).join(F.broadcast(self.cells), "cell")
-        sent = sent.select("rep", "matrix", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("shard"))
+        more = [c for c in asked.columns if c not in ("cell", "probes", "shard")]
+        sent = asked.select(*more, F.explode(probes).alias("cell")).join(F.broadcast(self.cells), "cell")
+        sent = sent.select(*more, F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("shard"))
         shapes, first = [], 0
         for r in sent.groupBy("shard").count().orderBy("shard").collect():  # one row for each shard
             shapes.append((r["shard"], first, -(-r["count"] // QUERIES)))
             first += shapes[-1][2]
         tasks = asked.sparkSession.createDataFrame(shapes, "shard int, first int, parts int")
-        none = F.lit(None).cast("binary")
-        index = self.graphs.join(tasks, "shard").select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("task"), F.lit(False).alias("query"), F.lit(None).cast("bigint").alias("rep"), F.lit(None).cast("array<float>").alias("matrix"), "ids", "vectors", "links", "entries")
-        query = sent.join(F.broadcast(tasks), "shard").select((F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int").alias("task"), F.lit(True).alias("query"), "rep", "matrix", *[none.alias(c) for c in ("ids", "vectors", "links", "entries")])
-        both = index.unionByName(query).repartitionById(max(1, first), F.col("task")).sortWithinPartitions("query")
+        kinds, arrays = dict(sent.dtypes), [c for c in index.columns if c != "shard"]
+        left = index.join(tasks, "shard").select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("task"), F.lit(False).alias("query"), *[F.lit(None).cast(kinds[c]).alias(c) for c in more], *arrays)
+        right = sent.join(tasks, "shard").select((F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int").alias("task"), F.lit(True).alias("query"), *more, *[F.lit(None).cast("binary").alias(c) for c in arrays])
+        both = left.unionByName(right).repartitionById(max(1, first), F.col("task")).sortWithinPartitions("query")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            graph_of = None
-            for b in batches:
-                if graph_of is None and len(b):  # the graph comes first, then its queries
-                    x, b = b.iloc[0], b.iloc[1:]
-                    exact = unit(np.frombuffer(x.vectors, np.float32).reshape(-1, dim))
-                    ids = np.frombuffer(x.ids, np.int64)
-                    graph_of = exact.astype(np.float32), np.frombuffer(x.links, np.int32).reshape(len(ids), -1), np.frombuffer(x.entries, np.int32)
-                for at in range(0, len(b), graph.BLOCK):
-                    part = b.iloc[at : at + graph.BLOCK]
-                    mine, q = part.rep.to_numpy(np.int64), unit(np.stack(part.matrix.to_numpy()))
-                    found, _ = graph.beam_search(q.astype(np.float32), *graph_of, beam)
-                    other = ids[np.maximum(found, 0)]
-                    cos = np.round(np.einsum("nj,nkj->nk", q, exact[np.maximum(found, 0)]), 6)
-                    cos[(found < 0) | (other == mine[:, None]) | (cos < least)] = -2
-                    order = np.lexsort((other, -cos), axis=1)
-                    cos, other = np.take_along_axis(cos, order, 1), np.take_along_axis(other, order, 1)
-                    good = (cos > -2).sum(axis=1)[:, None]
-                    place = np.arange(cos.shape[1])[None, :]
-                    keep = (place < near) | (place >= good - far)
-                    if whole:
-                        keep |= good < beam - 1
-                    r, c = np.nonzero((place < good) & keep)
-                    yield pd.DataFrame({"rep": mine[r], "other": other[r, c], "cosine": cos[r, c]})
-
-        return both.mapInPandas(run, "rep bigint, other bigint, cosine double")
+            batches = (b for b in batches if len(b))
+            b = next(batches, None)
+            if b is None or b["query"].iloc[0]:  # no node of the index is in this shard
+                return
+            rest = itertools.chain([b.iloc[1:]], batches)  # the row of the index comes first
+            yield from answer(b.iloc[0], (r.iloc[at : at + graph.BLOCK] for r in rest for at in range(0, len(r), graph.BLOCK)))
+
+        return both.mapInPandas(run, schema)
+
+    def links(self, near: int, far: int, least: float, full: int) -> DataFrame:
+        """(rep, other, cosine): for each node the nodes of cosine >= least in its PROBES nearest cells, by matrix products.
+
+        Of a shard that has more than `full` of them only the `near` nearest and `far` far ones are given.  Cosines are
+        exact (double precision), rounded to 6 digits.
+        """
+        dim = self.dim
+        index = self.packed(self.placed.select("rep", "matrix", "shard"), lambda pdf, m: {"ids": pdf.rep.to_numpy(np.int64), "vectors": m}, ["ids", "vectors"])
+
+        def answer(x: pd.Series, blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, exact = np.frombuffer(x.ids, np.int64), unit(np.frombuffer(x.vectors, np.float32).reshape(-1, dim))
+            single = exact.astype(np.float32)
+            for part in blocks:
+                mine, q = part.rep.to_numpy(np.int64), unit(np.stack(part.matrix.to_numpy()))
+                cos = q.astype(np.float32) @ single.T
+                cos[mine[:, None] == ids[None, :]] = -2
+                hit = cos >= least - DOUBT
+                many = hit.sum(axis=1) > full
+                r, c = np.nonzero(hit & ~many[:, None])
+                busy = np.flatnonzero(many)
+                if len(busy):
+                    some = cos[busy]
+                    top = np.argpartition(-some, near - 1, axis=1)[:, :near]
+                    low = np.argpartition(np.where(hit[busy], some, 3), far - 1, axis=1)[:, :far]
+                    r = np.concatenate([r, np.repeat(busy, near + far)])
+                    c = np.concatenate([c, np.concatenate([top, low], axis=1).ravel()])
+                near_by = np.round(np.einsum("ij,ij->i", q[r], exact[c]), 6)
+                good = near_by >= least
+                yield pd.DataFrame({"rep": mine[r[good]], "other": ids[c[good]], "cosine": near_by[good]})
+
+        return self.meet(index, self.placed, F.slice("probes", 1, PROBES), answer, "rep bigint, other bigint, cosine double")
+
+    def bridges(self, labelled: DataFrame, probes: int, least: float) -> DataFrame:
+        """(u, v), u < v: roots of labelled (rows of placed with a root) that a pair of cosine >= least joins, by matrix products in the `probes` nearest cells."""
+        dim = self.dim
+        index = self.packed(labelled.select("rep", "matrix", "shard", "root"), lambda pdf, m: {"roots": pdf.root.to_numpy(np.int64), "vectors": m}, ["roots", "vectors"])
+
+        def answer(x: pd.Series, blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            roots, exact = np.frombuffer(x.roots, np.int64), unit(np.frombuffer(x.vectors, np.float32).reshape(-1, dim))
+            single = exact.astype(np.float32)
+            for part in blocks:
+                mine, q = part.root.to_numpy(np.int64), unit(np.stack(part.matrix.to_numpy()))
+                r, c = np.nonzero((q.astype(np.float32) @ single.T >= least - DOUBT) & (mine[:, None] != roots[None, :]))
+                good = np.round(np.einsum("ij,ij->i", q[r], exact[c]), 6) >= least
+                u, v = mine[r[good]], roots[c[good]]
+                yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
+
+        return self.meet(index, labelled, F.slice("probes", 1, probes), answer, "u bigint, v bigint").distinct()
+
+
+class Index(Cells):
+    """Graphs over the nodes of each shard, and searches in them."""
+
+    def __init__(self, nodes: DataFrame, dim: int):
+        super().__init__(nodes, dim, PROBES)
+
+        def build(pdf: pd.DataFrame, m: np.ndarray) -> dict[str, np.ndarray]:
+            links, entries = graph.build(unit(m).astype(np.float32))
+            return {"ids": pdf.rep.to_numpy(np.int64), "vectors": m, "links": links, "entries": entries}
+
+        self.graphs = self.packed(self.placed.select("rep", "matrix", "shard"), build, ["ids", "vectors", "links", "entries"])
+
+    def search(self, near: int, least: float, beam: int) -> DataFrame:
+        """(rep, other, cosine): for each node and shard of its PROBES nearest cells the `near` nearest of the beam, of cosine >= least.
+
+        Cosines are exact (double precision), rounded to 6 digits.
+        """
+        dim = self.dim
+
+        def answer(x: pd.Series, blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, exact = np.frombuffer(x.ids, np.int64), unit(np.frombuffer(x.vectors, np.float32).reshape(-1, dim))
+            built = exact.astype(np.float32), np.frombuffer(x.links, np.int32).reshape(len(ids), -1), np.frombuffer(x.entries, np.int32)
+            for part in blocks:
+                mine, q = part.rep.to_numpy(np.int64), unit(np.stack(part.matrix.to_numpy()))
+                found, _ = graph.beam_search(q.astype(np.float32), *built, beam)
+                other = ids[np.maximum(found, 0)]
+                cos = np.round(np.einsum("nj,nkj->nk", q, exact[np.maximum(found, 0)]), 6)
+                cos[(found < 0) | (other == mine[:, None]) | (cos < least)] = -2
+                order = np.lexsort((other, -cos), axis=1)[:, :near]
+                cos, other = np.take_along_axis(cos, order, 1), np.take_along_axis(other, order, 1)
+                r, c = np.nonzero(cos > -2)
+                yield pd.DataFrame({"rep": mine[r], "other": other[r, c], "cosine": cos[r, c]})
+
+        return self.meet(self.graphs, self.placed, F.slice("probes", 1, PROBES), answer, "rep bigint, other bigint, cosine double")
 
 
 def cluster_bridges(nodes: DataFrame, shards: int, dim: int, least: float, many: int) -> DataFrame:
@@ -242,7 +337,7 @@ def nearest_rows(df: DataFrame, key: str, vector: str, dim: int, k: int, least:
     rows = materialize(usable_vectors(df, key, vector, dim), "vectors")
     nodes = materialize(nodes_of(rows, k + 1), "nodes")
     index = Index(nodes, dim)
-    found = materialize(index.search(index.placed, near=k, far=0, least=least), "found")
+    found = materialize(index.search(near=k, least=least, beam=SEARCH_BEAM), "found")
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("cosine"), "other"))).where(F.col("r") <= k)
     others = best.join(nodes.select(F.col("rep").alias("other"), F.slice("members", 1, k).alias("rows")), "other")
     others = others.select("rep", (-F.col("cosine")).alias("d"), F.explode("rows").alias("row"))
