@@ -110,7 +110,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with at least one passage that was decoded in another charset than it was written in."""
-    return encoding.find_garbled(table(spark, d, "documents"), "doc_id", "text", "lang", restore=False).select("doc_id")
+    return encoding.find_garbled(table(spark, d, "documents"), "doc_id", "text", "lang", page="raw_bytes", restore=False).select("doc_id")
 
 
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:

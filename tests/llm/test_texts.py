@@ -156,6 +156,32 @@ def test_single_byte_misreading_is_found(judge, documents, lang, assumed, meant)
     assert n >= 3 and seen >= 0.95 * n
 
 
+def test_unlisted_words_are_weighed(judge):
+    """A misread word that no list knows is found; with a neighbour that tells which reading is meant it is restored."""
+    word = "Экзистенциалистские"
+    garbled = word.encode("koi8-r").decode("cp1251")
+    assert word.lower() not in judge.known
+    assert judge.restore(garbled)[1] and judge.restore(word)[1] == []
+    line = "В этом году " + word + " вопросы и ответы"
+    again, used = judge.restore(line.encode("koi8-r").decode("cp1251"))
+    assert again == line and used == ["cp1251:koi8-r"]
+
+
+def test_chains_of_any_depth(judge):
+    text = x = "Größe und Länge für alle Räume"
+    for _ in range(5):
+        x = x.encode("utf-8").decode("latin-1")
+    assert judge.restore(x)[0] == text
+
+
+def test_the_page_tells(judge):
+    """A passage that the page's bytes don't hold, while they hold its candidate, was misread."""
+    page = "<html><p>Übergrößenträger</p><p>Über Größe und Länge für alle Räume</p></html>".encode("cp1252")
+    garbled = "Übergrößenträger".encode("cp1252").decode("cp1253", "replace").replace("\ufffd", "")
+    again, used = judge.restore(garbled, page)
+    assert used and judge.restore("Übergrößenträger", page)[1] == []
+
+
 def test_find_garbled(spark, documents):
     extra = [(-1, None, "fr", None), (-2, "", None, b""), (-3, "plain", "xx", None), (-4, "l�ger", "fr", "<p>léger</p>".encode("cp1252")), (-5, "CafÃ© " * 20_000, "en", None)]
     df = documents.unionByName(spark.createDataFrame(extra, documents.schema)).withColumns({"chains": F.lit(1), "restored": F.lit(2), "h": F.lit(0), "l": F.lit(0)})
