@@ -41,6 +41,12 @@ def rank_bucket(rank: Column) -> Column:
     return F.when(rank.isNull(), "absent").when(rank < 5, "1-5").when(rank < 10, "6-10").when(rank < 20, "11-20").when(rank < 50, "21-50").when(rank < 100, "51-100").otherwise(">100")
 
 
+def hit_bucket(rank: Column) -> Column:
+    """Narrower bucket of a 0-based rank."""
+    return F.when(rank.isNull(), "missing_or_not_hit").when(rank < 5, "rank_1_5").when(rank < 10, "rank_6_10").when(rank < 15, "rank_11_15").when(rank < 20, "rank_16_20").otherwise("rank_over_20")
+
+
+# Names of the buckets.
 BUCKETS = ("1-5", "6-10", "11-20", "21-50", "51-100", ">100", "absent")
 
 

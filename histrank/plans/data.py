@@ -154,8 +154,9 @@ def train_popularity(spark: SparkSession, d: str) -> DataFrame:
 GROUPS = ", grp AS (SELECT item_id, n, CASE WHEN rn <= greatest(1, floor(c * 0.2::DOUBLE)) THEN 'head' WHEN rn > c - least(greatest(1, floor(c * 0.2::DOUBLE)), c - greatest(1, floor(c * 0.2::DOUBLE))) THEN 'tail' ELSE 'mid' END AS grp FROM (SELECT i.item_id, coalesce(p.n, 0) AS n, row_number() OVER (ORDER BY coalesce(p.n, 0) DESC, i.item_id) AS rn, count(*) OVER () AS c FROM items i LEFT JOIN pop p ON p.item_id = i.item_id))"
 
 
-def item_groups(spark: SparkSession, d: str) -> DataFrame:
-    counts = table(spark, d, "items").select("item_id").join(popularity(spark, d).select("item_id", "n"), "item_id", "left").fillna(0, ["n"])
+def item_groups(spark: SparkSession, d: str, counts: DataFrame | None = None) -> DataFrame:
+    known = popularity(spark, d) if counts is None else counts
+    counts = table(spark, d, "items").select("item_id").join(known.select("item_id", "n"), "item_id", "left").fillna(0, ["n"])
     return S.popularity_groups(counts, 0.2, 0.2)
 
 
