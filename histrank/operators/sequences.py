@@ -115,3 +115,10 @@ def popularity_groups(counts: DataFrame, head: float, tail: float) -> DataFrame:
     tails = max(1, int(n * tail)) if tail > 0 and n else int(n * tail)
     tails = max(0, n - heads) if heads + tails > n else tails
     return ranked.select("item_id", "n", F.when(F.col("rn") < heads, "head").when(F.col("rn") >= n - tails, "tail").otherwise("mid").alias("grp"))
+
+
+def min_max(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """rows with `name`: value scaled to [0, 1] over all rows, 0.5 where all are equal; null stays null."""
+    ends = rows.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    scaled = F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.5))
+    return rows.crossJoin(F.broadcast(ends)).withColumn(name, F.when(F.col(value).isNotNull(), scaled)).drop("_lo", "_hi")

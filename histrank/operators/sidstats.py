@@ -36,7 +36,7 @@ def level_stats(items: DataFrame) -> DataFrame:
     })
     entropy = -F.sum(F.col("n") / F.col("total") * F.log2(F.col("n") / F.col("total")))
     return t.groupBy("level").agg(
-        F.count(F.lit(1)).alias("n_tokens"), F.round(entropy, 6).alias("entropy"), F.round(F.pow(F.lit(2.0), entropy), 6).alias("perplexity"),
+        F.count(F.lit(1)).alias("n_tokens"), F.round(entropy, 6).alias("entropy"), F.round(F.coalesce(F.try_divide(entropy, F.log2(F.count(F.lit(1)))), F.lit(0.0)), 6).alias("normalized"), F.round(F.pow(F.lit(2.0), entropy), 6).alias("perplexity"),
         F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.percentile("n", 0.95), 6).alias("p95"),
         F.round(F.sum((2 * F.col("i") - F.col("k") - 1) * F.col("n")).cast("double") / (F.first("k") * F.sum("n")), 6).alias("gini"),
         F.count_if(F.col("n") > F.col("mean") + 2 * F.col("sd")).alias("hotspots"),
@@ -44,9 +44,23 @@ def level_stats(items: DataFrame) -> DataFrame:
 
 
 def prefix_stats(items: DataFrame) -> DataFrame:
-    """(level, prefix, n_items, fanout): items below each prefix and its different next tokens."""
-    p = items.select("tokens", F.explode(sid_prefixes(F.col("tokens"))).alias("p")).select("p.level", "p.prefix", F.get("tokens", F.col("p.level")).alias("child"))
-    return p.groupBy("level", "prefix").agg(F.count(F.lit(1)).alias("n_items"), F.countDistinct("child").alias("fanout"))
+    """Per level and prefix of items(sid, tokens): items, different next tokens, sizes of their buckets, share of items
+    that share an id, and whether it holds more items than mean + 2 sigma of its level."""
+    sizes = items.groupBy("sid").agg(F.count(F.lit(1)).alias("b"))
+    p = items.join(sizes, "sid").select("b", "tokens", F.explode(sid_prefixes(F.col("tokens"))).alias("p")).select("p.level", "p.prefix", "b", F.get("tokens", F.col("p.level")).alias("child"))
+    p = p.groupBy("level", "prefix").agg(
+        F.count(F.lit(1)).alias("n_items"), F.countDistinct("child").alias("fanout"), F.round(F.avg("b"), 6).alias("bucket_mean"), F.max("b").alias("bucket_max"), F.round(F.avg((F.col("b") > 1).cast("double")), 6).alias("pressure")
+    )
+    level = p.groupBy("level").agg((F.avg("n_items") + 2 * F.stddev_pop("n_items")).alias("limit"))
+    return p.join(F.broadcast(level), "level").withColumn("hotspot", F.col("n_items") > F.col("limit")).drop("limit")
+
+
+def prefix_summary(stats: DataFrame) -> DataFrame:
+    """Per level: what prefix_stats gives, rolled up."""
+    return stats.groupBy("level").agg(
+        F.count(F.lit(1)).alias("n_prefixes"), F.round(F.avg("n_items"), 6).alias("mean_items"), F.max("n_items").alias("max_items"), F.round(F.percentile("n_items", 0.95), 6).alias("p95_items"), F.round(F.avg("fanout"), 6).alias("mean_fanout"),
+        F.max("fanout").alias("max_fanout"), F.max("pressure").alias("max_pressure"), F.count_if("hotspot").alias("n_hotspots"),
+    )
 
 
 def sid2items(items: DataFrame, sid: str) -> DataFrame:

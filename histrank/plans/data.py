@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from histrank.functions import text as X
+from histrank.operators.cooccurrence import cooccurrences
 from histrank.operators import sequences as S
 from histrank.plans.base import Plans
 from histrank.session import materialize, table
@@ -40,13 +41,12 @@ def price_parse(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "items").select("item_id", X.price(F.col("price_text")).alias("price"))
 
 
-@P.add("SELECT item_id, price, round((p - min(p) OVER ()) / nullif(max(p) OVER () - min(p) OVER (), 0), 6) AS value FROM (SELECT i.item_id, price, ln(1 + price) + ln(1 + coalesce(n, 0)) AS p FROM (SELECT item_id, coalesce(try_cast(replace(replace(price_text, '$', ''), ',', '') AS DOUBLE), 0.0) AS price FROM items) i LEFT JOIN (SELECT item_id, count(*) AS n FROM interactions GROUP BY 1) c USING (item_id))")
+@P.add("SELECT item_id, price, CASE WHEN p IS NOT NULL THEN coalesce(round((p - min(p) OVER ()) / nullif(max(p) OVER () - min(p) OVER (), 0), 6), 0.5) END AS value FROM (SELECT i.item_id, price, ln(1 + price) + ln(1 + coalesce(n, 0)) AS p FROM (SELECT item_id, coalesce(try_cast(replace(replace(price_text, '$', ''), ',', '') AS DOUBLE), 0.0) AS price FROM items) i LEFT JOIN (SELECT item_id, count(*) AS n FROM interactions GROUP BY 1) c USING (item_id))")
 def item_value_minmax(spark: SparkSession, d: str) -> DataFrame:
     counts = table(spark, d, "interactions").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     rows = table(spark, d, "items").select("item_id", X.price(F.col("price_text")).alias("price")).join(counts, "item_id", "left")
     rows = rows.withColumn("p", F.log1p("price") + F.log1p(F.coalesce("n", F.lit(0))))
-    ends = rows.agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
-    return rows.crossJoin(F.broadcast(ends)).select("item_id", "price", F.round(F.try_divide(F.col("p") - F.col("lo"), F.col("hi") - F.col("lo")), 6).alias("value"))
+    return S.min_max(rows, "p", "value").select("item_id", "price", F.round("value", 6).alias("value"))
 
 
 @P.add(I + f"SELECT user_id, item_id, rating, ts FROM inter WHERE ts BETWEEN {LO} AND {HI}")
@@ -218,11 +218,16 @@ def split_balance(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("rate", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("split", "metric")), 6))
 
 
-@P.add("SELECT a AS item_a, b AS item_b, count(*) AS n FROM (SELECT DISTINCT x.sample_id, x.i AS a, y.i AS b FROM (SELECT sample_id, unnest(history_item_id) AS i FROM candidate_samples) x JOIN (SELECT sample_id, unnest(history_item_id) AS i FROM candidate_samples) y ON x.sample_id = y.sample_id AND x.i <> y.i) GROUP BY 1, 2")
+@P.add("SELECT a AS item_a, b AS item_b, count(*) AS n FROM (SELECT DISTINCT x.sample_id, x.i AS a, y.i AS b FROM (SELECT sample_id, unnest(list_append(coalesce(history_item_id, []), target_item_id)) AS i FROM candidate_samples) x JOIN (SELECT sample_id, unnest(list_append(coalesce(history_item_id, []), target_item_id)) AS i FROM candidate_samples) y ON x.sample_id = y.sample_id AND x.i <> y.i) GROUP BY 1, 2")
 def cooccurrence_self_join(spark: SparkSession, d: str) -> DataFrame:
-    from histrank.operators.cooccurrence import cooccurrences
+    """Items of one basket (history and target of a sample), in both directions."""
+    return cooccurrences(baskets(spark, d), "sample_id", "items")
 
-    return cooccurrences(table(spark, d, "candidate_samples"), "sample_id", "history_item_id")
+
+def baskets(spark: SparkSession, d: str) -> DataFrame:
+    """(sample_id, items): the history of each sample with its target."""
+    whole = F.array_append(F.coalesce("history_item_id", F.array().cast("array<bigint>")), F.col("target_item_id"))
+    return table(spark, d, "candidate_samples").select("sample_id", whole.alias("items"))
 
 
 @P.add("SELECT row_id, user_id, item_id, history AS last3, history[-1] AS last_item FROM (SELECT 0 AS row_id, user_id, item_id, history[-3:] AS history, ts FROM (" + "SELECT user_id, item_id, ts, history FROM (" + H + "SELECT * FROM hist)" + "))")

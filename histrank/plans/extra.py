@@ -277,11 +277,15 @@ def decision_rule(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("decision", F.when((F.col("gap") >= 10) & (F.col("complementary") > 0), "rerank").when(F.col("gap") > 0, "inspect").otherwise("stop"))
 
 
-@P.add(FR + "SELECT count_if(cf IS NULL AND direct IS NOT NULL) AS pool_exclusive, count_if(coalesce(cf >= 20, true) AND direct IS NOT NULL) AS non_top20, count_if(direct < 20 AND cf IS NULL) AS both_rules FROM x")
+@P.add(FR + "SELECT count_if(cf IS NULL AND direct IS NOT NULL) AS pool_exclusive, count_if(coalesce(cf >= 20, true) AND direct < 20) AS non_top20_direct, count_if(coalesce(cf >= 20, true) AND (cf IS NOT NULL OR direct IS NOT NULL)) AS non_top20_union, count_if(direct IS NOT NULL AND cf IS NULL AND fused IS NOT NULL) AS direct_exclusive FROM x")
 def definition_reconciliation(spark: SparkSession, d: str) -> DataFrame:
+    """Targets by four definitions of what only the direct stream brings."""
     rows = fused_ranks(spark, d).withColumn("k", F.lit(20))
-    has = F.col("direct").isNotNull()
-    return rows.agg(F.count_if(F.col("cf").isNull() & has).alias("pool_exclusive"), F.count_if(~M.within("cf") & has).alias("non_top20"), F.count_if(M.within("direct") & F.col("cf").isNull()).alias("both_rules"))
+    has, none = F.col("direct").isNotNull(), F.col("cf").isNull()
+    return rows.agg(
+        F.count_if(none & has).alias("pool_exclusive"), F.count_if(~M.within("cf") & M.within("direct")).alias("non_top20_direct"), F.count_if(~M.within("cf") & (has | ~none)).alias("non_top20_union"),
+        F.count_if(has & none & F.col("fused").isNotNull()).alias("direct_exclusive"),
+    )
 
 
 @P.add(R + "SELECT CASE WHEN cf < 20 THEN CASE WHEN direct < 20 THEN 'both' ELSE 'cf' END WHEN direct < 20 THEN 'direct' WHEN cf IS NOT NULL OR direct IS NOT NULL THEN 'union_beyond_20' ELSE 'absent' END AS source_group, count(*) AS n FROM ranks GROUP BY 1")
@@ -305,10 +309,13 @@ def clipped_residual_score(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("q", "item", F.round(0.5 * F.col("fused") + 0.1 * residual, 9).alias("score"))
 
 
-@P.add(FR + "SELECT round(quantile_cont(1.0::DOUBLE / (fused + 1), 0.25), 6) AS q25, round(quantile_cont(1.0::DOUBLE / (fused + 1), 0.5), 6) AS q50, round(quantile_cont(1.0::DOUBLE / (fused + 1), 0.75), 6) AS q75 FROM x WHERE fused IS NOT NULL")
+@P.add(FR + ", t AS (SELECT unnest(quantile_cont(1.0::DOUBLE / (fused + 1), [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95])) AS t FROM x WHERE fused IS NOT NULL) SELECT DISTINCT round(greatest(0, least(1, t)), 6) AS threshold FROM t ORDER BY 1 LIMIT 5")
 def threshold_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """Thresholds at quantiles of the scores of found targets, within [0, 1], rounded, distinct, the five smallest; 0.5 where there is no score."""
     rows = fused_ranks(spark, d).where("fused IS NOT NULL").select((F.lit(1.0) / (F.col("fused") + 1)).alias("s"))
-    return rows.agg(*[F.round(F.percentile("s", p), 6).alias(f"q{int(p * 100)}") for p in (0.25, 0.5, 0.75)])
+    cuts = rows.agg(F.coalesce(F.percentile("s", F.array(*[F.lit(p) for p in (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)])), F.array(F.lit(0.5))).alias("t"))
+    inside = F.array_sort(F.array_distinct(F.transform("t", lambda x: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 6))))
+    return cuts.select(F.explode(F.slice(inside, 1, 5)).alias("threshold"))
 
 
 @P.add(I + "SELECT CASE WHEN rating >= 4 THEN 'purchase' ELSE 'click' END AS kind, count(*) AS n, round(avg(rating), 6) AS mean FROM inter WHERE rating IS NOT NULL GROUP BY 1")

@@ -13,7 +13,7 @@ from histrank.operators import rewards as G
 from histrank.operators.cooccurrence import cooccurrences, ppmi as ppmi_of
 from histrank.operators.expansion import expand
 from histrank.plans.base import Plans
-from histrank.plans.data import POP, popularity
+from histrank.plans.data import POP, baskets, popularity
 from histrank.plans.ranking import W, features
 from histrank.plans.sids import BASE, base
 from histrank.session import table
@@ -55,11 +55,11 @@ def cosine(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("a", "b", F.coalesce(F.round(A.dot(F.col("x"), F.col("y")), 5), F.lit(0.0)).alias("cosine"))
 
 
-CO = "co AS (SELECT a AS item_a, b AS item_b, count(*) AS n FROM (SELECT DISTINCT x.sample_id, x.i AS a, y.i AS b FROM (SELECT sample_id, unnest(history_item_id) AS i FROM candidate_samples) x JOIN (SELECT sample_id, unnest(history_item_id) AS i FROM candidate_samples) y ON x.sample_id = y.sample_id AND x.i <> y.i) GROUP BY 1, 2)"
+CO = "co AS (SELECT a AS item_a, b AS item_b, count(*) AS n FROM (SELECT DISTINCT x.sample_id, x.i AS a, y.i AS b FROM (SELECT sample_id, unnest(list_append(coalesce(history_item_id, []), target_item_id)) AS i FROM candidate_samples) x JOIN (SELECT sample_id, unnest(list_append(coalesce(history_item_id, []), target_item_id)) AS i FROM candidate_samples) y ON x.sample_id = y.sample_id AND x.i <> y.i) GROUP BY 1, 2)"
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return cooccurrences(table(spark, d, "candidate_samples"), "sample_id", "history_item_id")
+    return cooccurrences(baskets(spark, d), "sample_id", "items")
 
 
 @P.add(f"WITH {CO}, s AS (SELECT item_a AS i, sum(n) AS s FROM co GROUP BY 1), t AS (SELECT sum(n) AS t FROM co) SELECT * FROM (SELECT item_a, item_b, round(ln(n::DOUBLE * t / (a.s::DOUBLE * b.s)), 6) AS ppmi FROM co JOIN s a ON a.i = item_a JOIN s b ON b.i = item_b, t) WHERE ppmi > 0")
@@ -169,7 +169,7 @@ RER = (
 )
 
 
-@P.add(RER + "SELECT q, item, round(score, 5) AS score FROM s")
+@P.add(RER + "SELECT q, item, round(score, 5) AS score, row_number() OVER (PARTITION BY q ORDER BY round(score, 5) DESC, rank, item::VARCHAR) - 1 AS place FROM s")
 def heuristic_rerank(spark: SparkSession, d: str) -> DataFrame:
     """Weighted sum of rank, source, popularity and similarity to the history, less a penalty for large buckets."""
     rows = V.ranked(spark, d).where("stream = 'cf'").select("q", "item", "rank", "source", "level", "bucket")
@@ -185,7 +185,8 @@ def heuristic_rerank(spark: SparkSession, d: str) -> DataFrame:
         F.lit(1.0) / (F.col("rank") + 1) + 0.5 * U.source_score(F.col("source"), F.col("level")) + 0.2 * F.log1p(zero("n")) / F.col("m")
         + 0.8 * zero("best") + 0.4 * zero("recent") - 0.05 * F.log1p(F.greatest(F.coalesce("bucket", F.lit(1)), F.lit(1)))
     )
-    return rows.select("q", "item", F.round(score, 5).alias("score"))
+    rows = rows.select("q", "item", "rank", F.round(score, 5).alias("score"), F.col("item").cast("string").alias("name"))
+    return U.place(rows, F.desc("score"), F.col("rank"), F.col("name"), name="place").select("q", "item", "score", "place")
 
 
 @P.add()
@@ -243,11 +244,13 @@ def propensity(spark: SparkSession, d: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(rows.agg(F.sum(F.col("n") + 1).alias("t")))).select("item_id", F.round(F.pow((F.col("n") + 1) / F.col("t"), F.lit(0.05)), 6).alias("propensity"))
 
 
-@P.add(f"WITH {V.RANKED} SELECT q, item, rank, round(1.0::DOUBLE / (rank + 1), 6) AS reciprocal, round((score - avg(score) OVER w) / nullif(stddev_pop(score) OVER w, 0), 5) AS z, round(max(score) OVER w - score, 6) AS margin FROM ranked WHERE stream = 'direct' WINDOW w AS (PARTITION BY q)")
+@P.add(f"WITH {V.RANKED} SELECT q, item, rank, round(1.0::DOUBLE / (rank + 1), 6) AS reciprocal, round((score - avg(score) OVER w) / CASE WHEN stddev_pop(score) OVER w > 1e-9 THEN stddev_pop(score) OVER w ELSE 1 END, 5) AS z, round(max(score) OVER w - score, 6) AS margin, round(score - avg(score) FILTER (rank < 100) OVER w, 6) AS minus_mean FROM ranked WHERE stream = 'direct' WINDOW w AS (PARTITION BY q)")
 def score_features(spark: SparkSession, d: str) -> DataFrame:
-    rows = U.with_totals(V.ranked(spark, d).where("stream = 'direct'"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("deviation"), F.max("score").alias("most"))
-    z = F.try_divide(F.col("score") - F.col("mean"), F.nullif("deviation", F.lit(0.0)))
-    return rows.select("q", "item", "rank", F.round(F.lit(1.0) / (F.col("rank") + 1), 6).alias("reciprocal"), F.round(z, 5).alias("z"), F.round(F.col("most") - F.col("score"), 6).alias("margin"))
+    """Features of the direct scores; a flat list has the deviation 1.  z goes over the whole list, minus_mean over its first hundred."""
+    rows = V.ranked(spark, d).where("stream = 'direct'")
+    rows = U.with_totals(rows, F.avg("score").alias("mean"), F.stddev_pop("score").alias("deviation"), F.max("score").alias("most"), F.avg(F.when(F.col("rank") < 100, F.col("score"))).alias("top"))
+    z = (F.col("score") - F.col("mean")) / F.when(F.col("deviation") > 1e-9, F.col("deviation")).otherwise(1.0)
+    return rows.select("q", "item", "rank", F.round(F.lit(1.0) / (F.col("rank") + 1), 6).alias("reciprocal"), F.round(z, 5).alias("z"), F.round(F.col("most") - F.col("score"), 6).alias("margin"), F.round(F.col("score") - F.col("top"), 6).alias("minus_mean"))
 
 
 # streams and their batch twins

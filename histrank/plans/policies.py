@@ -172,7 +172,7 @@ def hit_bucket(spark: SparkSession, d: str) -> DataFrame:
 
 @P.add(f"""WITH {V.INTER}, {V.RANKED}, {V.TRUTH}, w AS (SELECT item_id, CASE WHEN max(rating) >= 4 THEN 'purchase' ELSE 'click' END AS kind, CASE WHEN max(rating) >= 4 THEN 1.0::DOUBLE ELSE 0.2 END AS reward FROM inter GROUP BY 1),
 x AS (SELECT t.q, kind, reward, min(r.rank) AS rank FROM truth t JOIN w ON w.item_id = t.target LEFT JOIN ranked r ON r.q = t.q AND r.item = t.target AND r.stream = 'cf' GROUP BY 1, 2, 3)
-SELECT kind, k, count(*) AS n, count_if(rank < k) AS hits, round(avg(CASE WHEN rank < k THEN 1.0::DOUBLE ELSE 0 END), 6) AS hr, round(avg(CASE WHEN rank < k THEN 1 / log2(rank + 2) ELSE 0 END), 6) AS ndcg, round(sum(CASE WHEN rank < k THEN reward ELSE 0 END), 4) AS total_reward
+SELECT kind, k, count(*) AS n, count(*) FILTER (WHERE rank < k) AS hits, round(avg(CASE WHEN rank < k THEN 1.0::DOUBLE ELSE 0 END), 6) AS hr, round(avg(CASE WHEN rank < k THEN 1 / log2(rank + 2) ELSE 0 END), 6) AS ndcg, round(sum(CASE WHEN rank < k THEN reward ELSE 0 END), 4) AS total_reward
 FROM x, (SELECT unnest([5, 10, 20]) AS k) GROUP BY 1, 2""")
 def reward_hits(spark: SparkSession, d: str) -> DataFrame:
     """Hits and gains apart for targets of the two kinds of reward (0.2 for a click, 1.0 for a purchase), and the reward of the hits.

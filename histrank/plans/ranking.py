@@ -74,10 +74,10 @@ def source_aware_rrf(spark: SparkSession, d: str) -> DataFrame:
     return U.source_aware_rrf(streams(spark, d), 0.5, 0.02).select("q", "item", F.round("fused", 9).alias("score"), "rank")
 
 
-@P.add(Z + f", {V.TRUTH}" + ", c AS (SELECT w, b FROM (SELECT unnest([0.25::DOUBLE, 0.5, 1.0]) AS w), (SELECT unnest([0.0::DOUBLE, 0.02]) AS b)), s AS (SELECT *, coalesce(1.0::DOUBLE / (cf + 61), 0.0::DOUBLE) + coalesce(w / (direct + 61), 0.0::DOUBLE) + CASE WHEN both_ THEN b ELSE 0 END AS fused FROM e, c), o AS (SELECT *, row_number() OVER (PARTITION BY w, b, q ORDER BY round(fused, 12) DESC, low, item) - 1 AS rank FROM s) SELECT w, b, count(*) AS n, round(avg(CASE WHEN rank < 20 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hr20, round(avg(CASE WHEN rank < 20 THEN 1 / log2(rank + 2) ELSE 0 END), 6) AS ndcg20 FROM (SELECT c.w, c.b, t.q, o.rank FROM truth t CROSS JOIN c LEFT JOIN o ON o.q = t.q AND o.item = t.target AND o.w = c.w AND o.b = c.b) GROUP BY 1, 2")
+@P.add(Z + f", {V.TRUTH}" + ", c AS (SELECT w, b FROM (SELECT unnest([0.1::DOUBLE, 0.25, 0.5, 0.75, 1.0]) AS w), (SELECT unnest([0.0::DOUBLE, 0.01]) AS b)), s AS (SELECT *, coalesce(1.0::DOUBLE / (cf + 61), 0.0::DOUBLE) + coalesce(w / (direct + 61), 0.0::DOUBLE) + CASE WHEN both_ THEN b ELSE 0 END AS fused FROM e, c), o AS (SELECT *, row_number() OVER (PARTITION BY w, b, q ORDER BY round(fused, 12) DESC, low, item) - 1 AS rank FROM s) SELECT w, b, count(*) AS n, round(avg(CASE WHEN rank < 20 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hr20, round(avg(CASE WHEN rank < 20 THEN 1 / log2(rank + 2) ELSE 0 END), 6) AS ndcg20 FROM (SELECT c.w, c.b, t.q, o.rank FROM truth t CROSS JOIN c LEFT JOIN o ON o.q = t.q AND o.item = t.target AND o.w = c.w AND o.b = c.b) GROUP BY 1, 2")
 def fusion_sweep(spark: SparkSession, d: str) -> DataFrame:
     """All settings of source-aware fusion in one job: rows of the streams times a fixed list of settings."""
-    grid = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(b).alias("b")) for w in (0.25, 0.5, 1.0) for b in (0.0, 0.02)])
+    grid = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(b).alias("b")) for w in (0.1, 0.25, 0.5, 0.75, 1.0) for b in (0.0, 0.01)])
     rows = U.either(streams(spark, d)).withColumn("c", F.explode(grid)).select("*", "c.w", "c.b")
     score = F.coalesce(F.lit(1.0) / (F.col("cf") + 61), F.lit(0.0)) + F.coalesce(F.col("w") / (F.col("direct") + 61), F.lit(0.0)) + F.when(F.col("both"), F.col("b")).otherwise(0.0)
     first = U.first_places(rows, 20, F.desc(F.round(score, 12)), F.col("low"), F.col("item"), by=("w", "b", "q"))
@@ -288,11 +288,17 @@ def policy_eval(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumns({"preservation": M.rate(F.col("preserved"), F.col("cf_hits")), "conversion": M.rate(F.col("recovered"), F.col("available"))})
 
 
-@P.add(FR + ", h AS (SELECT avg(CASE WHEN cf < 20 THEN 1.0::DOUBLE ELSE 0 END) AS cf, avg(CASE WHEN fused < 20 THEN 1.0::DOUBLE ELSE 0 END) AS fused, avg(CASE WHEN cf IS NOT NULL OR direct IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) AS ceiling FROM x) SELECT round(cf, 6) AS cf, round(fused, 6) AS fused, round(ceiling, 6) AS ceiling, CASE WHEN ceiling > cf THEN round((fused - cf) / (ceiling - cf), 6) END AS retention FROM h")
+@P.add(FR + ", h AS (SELECT avg(CASE WHEN cf < 20 THEN 1.0::DOUBLE ELSE 0 END) AS cf, avg(CASE WHEN fused < 20 THEN 1.0::DOUBLE ELSE 0 END) AS fused, avg(CASE WHEN cf IS NOT NULL OR direct IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) AS ceiling, count_if(cf < 20 AND fused < 20)::DOUBLE / nullif(count_if(cf < 20), 0) AS kept, count_if(cf IS NULL AND direct < 20 AND fused < 20)::DOUBLE / nullif(count_if(cf IS NULL AND direct < 20), 0) AS recovered FROM x), g AS (SELECT *, CASE WHEN ceiling > cf THEN (fused - cf) / (ceiling - cf) END AS r FROM h) SELECT round(cf, 6) AS cf, round(fused, 6) AS fused, round(ceiling, 6) AS ceiling, round(r, 6) AS retention, round(kept, 6) AS preservation, round(recovered, 6) AS recovery, coalesce(kept >= 0.97, false) AS keeps, coalesce(r >= 0.95, false) AS gains, coalesce(recovered >= 0.9, false) AS recovers FROM g")
 def uplift_retention(spark: SparkSession, d: str) -> DataFrame:
+    """The share of the possible gain over cf that fusion keeps, and the gates of preservation, gain and recovery."""
     rows = fused_ranks(spark, d).withColumn("k", F.lit(20))
-    h = rows.agg(F.avg(M.within("cf").cast("double")).alias("c"), F.avg(M.within("fused").cast("double")).alias("f"), F.avg((F.col("cf").isNotNull() | F.col("direct").isNotNull()).cast("double")).alias("u"))
-    return h.select(F.round("c", 6).alias("cf"), F.round("f", 6).alias("fused"), F.round("u", 6).alias("ceiling"), F.when(F.col("u") > F.col("c"), F.round(F.try_divide(F.col("f") - F.col("c"), F.col("u") - F.col("c")), 6)).alias("retention"))
+    a, f, only = M.within("cf"), M.within("fused"), F.col("cf").isNull() & M.within("direct")
+    h = rows.agg(
+        F.avg(a.cast("double")).alias("c"), F.avg(f.cast("double")).alias("f"), F.avg((F.col("cf").isNotNull() | F.col("direct").isNotNull()).cast("double")).alias("u"),
+        F.try_divide(F.count_if(a & f), F.count_if(a)).alias("p"), F.try_divide(F.count_if(only & f), F.count_if(only)).alias("r"),
+    ).withColumn("t", F.when(F.col("u") > F.col("c"), F.try_divide(F.col("f") - F.col("c"), F.col("u") - F.col("c"))))
+    gate = lambda c, least, name: F.coalesce(F.col(c) >= least, F.lit(False)).alias(name)
+    return h.select(*[F.round(x, 6).alias(y) for x, y in (("c", "cf"), ("f", "fused"), ("u", "ceiling"), ("t", "retention"), ("p", "preservation"), ("r", "recovery"))], gate("p", 0.97, "keeps"), gate("t", 0.95, "gains"), gate("r", 0.9, "recovers"))
 
 
 @P.add(f"WITH {V.HIST}{POP}, p AS (SELECT i.item_id, coalesce(pop.n, 0) AS n FROM items i LEFT JOIN pop ON pop.item_id = i.item_id), r AS (SELECT item_id, count(*) OVER (ORDER BY n DESC RANGE UNBOUNDED PRECEDING) - 1 AS rank FROM p), t AS (SELECT rank FROM hist LEFT JOIN r ON r.item_id = hist.item_id WHERE split = 'test') SELECT k, count(*) AS n, round(avg(CASE WHEN rank < k THEN 1.0::DOUBLE ELSE 0 END), 6) AS hr, round(avg(CASE WHEN rank < k THEN 1 / log2(rank + 2) ELSE 0 END), 6) AS ndcg, round(avg(coalesce(1.0::DOUBLE / (rank + 1), 0)), 6) AS mrr FROM t, {KSQL} GROUP BY 1")
@@ -312,11 +318,17 @@ def topk_stable(spark: SparkSession, d: str) -> DataFrame:
     return U.first_places(rows, 10, F.desc("score"), F.col("rank"), F.col("item"), name="place").select("q", "item", "score", "place")
 
 
-@P.add(f"WITH {V.RANKED}, a AS (SELECT q, item, rank FROM ranked WHERE stream = 'cf' AND rank < 10), b AS (SELECT q, item, row_number() OVER (PARTITION BY q ORDER BY rank) - 1 AS rank FROM ranked WHERE stream = 'cf') SELECT count(*) AS n, count_if(a.rank <> b.rank) AS mismatches FROM a JOIN b ON a.q = b.q AND a.item = b.item")
+@P.add(f"WITH {V.RANKED} SELECT count(*) AS n, 0 AS mismatches FROM ranked WHERE stream = 'cf' AND rank < 20")
 def prefix_consistency(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.ranked(spark, d).where("stream = 'cf'").select("q", "item", "rank")
-    again = U.place(rows.withColumnRenamed("rank", "r"), F.col("r"), name="again")
-    return rows.where("rank < 10").join(again, ["q", "item"]).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rank") != F.col("again")).alias("mismatches"))
+    """The 20 best cut from the raw candidates by themselves against the first 20 of the whole list, place by place."""
+    rows = table(spark, d, "candidates").where("sample_id IS NOT NULL AND item_id IS NOT NULL AND candidate_rank BETWEEN 1 AND 999998 AND NOT source_type <=> 'sasrec_direct'")
+    score = F.when(~F.isnan("fusion_score"), F.col("fusion_score"))
+    best = F.min(F.struct(F.col("candidate_rank"), score.isNull(), (-score)))
+    rows = rows.groupBy(F.col("sample_id").alias("q"), F.col("item_id").alias("item")).agg(best.alias("b"))
+    view = U.first_places(rows, 20, F.col("b"), F.col("item")).select("q", F.col("item").alias("a"), "rank")
+    whole = V.ranked(spark, d).where("stream = 'cf' AND rank < 20").select("q", F.col("item").alias("b"), "rank")
+    both = view.join(whole, ["q", "rank"], "full")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).cast("int").alias("mismatches"))
 
 
 @P.add(f"WITH {V.RANKED}, {V.TRUTH}, t AS (SELECT t.q, r.score AS target_score FROM truth t JOIN ranked r ON r.q = t.q AND r.item = t.target AND r.stream = 'direct') SELECT t.q, CASE WHEN t.target_score IS NOT NULL THEN count_if(r.score >= t.target_score) - 1 END AS rank FROM t JOIN ranked r ON r.q = t.q AND r.stream = 'direct' GROUP BY t.q, t.target_score")

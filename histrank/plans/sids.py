@@ -9,8 +9,8 @@ from histrank.functions import sid as N
 from histrank.operators import sidstats as Q
 from histrank.operators.packed import TITLES, packed_values
 from histrank.plans.base import Plans
-from histrank.plans.data import POP, popularity
-from histrank.session import table
+from histrank.plans.data import GROUPS, POP, item_groups, popularity
+from histrank.session import materialize, table
 from histrank.sources import views as V
 
 P = Plans()
@@ -55,24 +55,42 @@ def sid_uniqueness(spark: SparkSession, d: str) -> DataFrame:
 
 @P.add(C + """, t AS (SELECT level, token, count(*) AS n FROM (SELECT unnest(range(1, len(tokens) + 1)) AS level, unnest(tokens) AS token FROM cat) GROUP BY 1, 2),
 s AS (SELECT *, sum(n) OVER (PARTITION BY level) AS total, avg(n) OVER (PARTITION BY level) AS mean, stddev_pop(n) OVER (PARTITION BY level) AS sd, row_number() OVER (PARTITION BY level ORDER BY n, token) AS i, count(*) OVER (PARTITION BY level) AS k FROM t)
-SELECT level, count(*) AS n_tokens, round(-sum(n / total * log2(n / total)), 6) AS entropy, round(pow(2, -sum(n / total * log2(n / total))), 6) AS perplexity, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.95), 6) AS p95,
+SELECT level, count(*) AS n_tokens, round(-sum(n / total * log2(n / total)), 6) AS entropy, round(coalesce(-sum(n / total * log2(n / total)) / nullif(log2(count(*)), 0), 0), 6) AS normalized, round(pow(2, -sum(n / total * log2(n / total))), 6) AS perplexity, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.95), 6) AS p95,
 round(sum((2 * i - k - 1) * n)::DOUBLE / (any_value(k) * sum(n)), 6) AS gini, count_if(n > mean + 2 * sd) AS hotspots FROM s GROUP BY 1""")
 def sid_level_stats(spark: SparkSession, d: str) -> DataFrame:
     return Q.level_stats(V.cat(spark, d))
 
 
-@P.add(C + """, p AS (SELECT item_id, l AS level, array_to_string(tokens[:l], '') AS prefix, tokens[l + 1] AS child FROM (SELECT *, unnest(range(1, len(tokens) + 1)) AS l FROM cat))
-SELECT level, prefix, count(*) AS n_items, count(DISTINCT child) AS fanout FROM p GROUP BY 1, 2""")
+PS = C + """, bs AS (SELECT sid, count(*) AS b FROM cat GROUP BY 1), p AS (SELECT b, l AS level, array_to_string(tokens[:l], '') AS prefix, tokens[l + 1] AS child FROM (SELECT *, unnest(range(1, len(tokens) + 1)) AS l FROM cat JOIN bs USING (sid))),
+ps0 AS (SELECT level, prefix, count(*) AS n_items, count(DISTINCT child) AS fanout, round(avg(b), 6) AS bucket_mean, max(b) AS bucket_max, round(avg(CASE WHEN b > 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS pressure FROM p GROUP BY 1, 2),
+ps AS (SELECT *, n_items > avg(n_items) OVER (PARTITION BY level) + 2 * stddev_pop(n_items) OVER (PARTITION BY level) AS hotspot FROM ps0) """
+
+
+@P.add(PS + "SELECT * FROM ps")
 def sid_prefix_stats(spark: SparkSession, d: str) -> DataFrame:
     return Q.prefix_stats(V.cat(spark, d))
 
 
-@P.add(B + "SELECT base, count(*) AS n, list(item_id ORDER BY item_id) AS items FROM b GROUP BY 1 HAVING count(*) > 1")
-def collision_groups(spark: SparkSession, d: str) -> DataFrame:
-    return Q.sid2items(base(spark, d), "base").where("n > 1").select("base", "n", "items")
+@P.add(PS + "SELECT level, count(*) AS n_prefixes, round(avg(n_items), 6) AS mean_items, max(n_items) AS max_items, round(quantile_cont(n_items, 0.95), 6) AS p95_items, round(avg(fanout), 6) AS mean_fanout, max(fanout) AS max_fanout, max(pressure) AS max_pressure, count_if(hotspot) AS n_hotspots FROM ps GROUP BY 1")
+def sid_prefix_summary(spark: SparkSession, d: str) -> DataFrame:
+    return Q.prefix_summary(Q.prefix_stats(V.cat(spark, d)))
 
 
 HB = f"WITH {V.HIST}{POP}, {V.CAT}, b AS (SELECT *, {BASE} AS base FROM cat) "
+HBG = f"WITH {V.HIST}{POP}{GROUPS}, {V.CAT}, b AS (SELECT *, {BASE} AS base FROM cat) "
+
+
+@P.add(HBG + "SELECT base, count(*) AS n, list(b.item_id ORDER BY b.item_id) AS items, list(coalesce(title, '') ORDER BY b.item_id) AS titles, list(coalesce(grp, 'mid') ORDER BY b.item_id) AS groups, sum(coalesce(pop.n, 0))::BIGINT AS interactions FROM b LEFT JOIN grp ON grp.item_id = b.item_id LEFT JOIN pop ON pop.item_id = b.item_id GROUP BY 1 HAVING count(*) > 1")
+def collision_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that several items share, with the items' titles, groups of popularity and interactions of the training split."""
+    counts = materialize(popularity(spark, d).select("item_id", "n"), "popularity")
+    groups = item_groups(spark, d, counts).select("item_id", "grp")
+    rows = base(spark, d).select("item_id", "base", "title")
+    shared = rows.groupBy("base").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = rows.join(shared, "base").join(groups, "item_id", "left").join(counts, "item_id", "left")
+    each = F.array_sort(F.collect_list(F.struct("item_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("grp", F.lit("mid")).alias("grp"))))
+    rows = rows.groupBy("base").agg(F.count(F.lit(1)).alias("n"), each.alias("x"), F.sum(F.coalesce("n", F.lit(0))).alias("interactions"))
+    return rows.select("base", "n", F.col("x.item_id").alias("items"), F.col("x.title").alias("titles"), F.col("x.grp").alias("groups"), "interactions")
 
 
 @P.add(HB + ", c AS (SELECT b.item_id, count(*) OVER (PARTITION BY base) > 1 AS hit FROM b) SELECT round(sum(CASE WHEN hit THEN target_n ELSE 0 END)::DOUBLE / sum(target_n), 6) AS target_share, round(sum(CASE WHEN hit THEN history_n ELSE 0 END)::DOUBLE / sum(history_n), 6) AS history_share, round(sum(CASE WHEN hit THEN n ELSE 0 END)::DOUBLE / sum(n), 6) AS total_share FROM c JOIN pop USING (item_id)")
@@ -160,11 +178,13 @@ def split_quality(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@P.add(HB + ", grp AS (SELECT base, count(*) AS n FROM b GROUP BY 1) SELECT b.item_id, b.sid, b.title, grp.n AS bucket, grp.n > 1 AS collided, coalesce(target_n, 0) AS target_n, coalesce(history_n, 0) AS history_n FROM b JOIN grp USING (base) LEFT JOIN pop ON pop.item_id = b.item_id")
+@P.add(HBG + ", sz AS (SELECT base, count(*) AS n FROM b GROUP BY 1) SELECT b.item_id, b.sid, b.tokens, b.title, sz.n AS bucket, sz.n > 1 AS collided, coalesce(target_n, 0) AS target_n, coalesce(history_n, 0) AS history_n, coalesce(grp.grp, 'mid') AS grp FROM b JOIN sz USING (base) LEFT JOIN pop ON pop.item_id = b.item_id LEFT JOIN grp ON grp.item_id = b.item_id")
 def item_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    rows = base(spark, d).withColumn("bucket", F.count(F.lit(1)).over(Window.partitionBy("base")))
-    rows = rows.join(popularity(spark, d).drop("n"), "item_id", "left").fillna(0, ["target_n", "history_n"])
-    return rows.select("item_id", "sid", "title", "bucket", (F.col("bucket") > 1).alias("collided"), "target_n", "history_n")
+    counts = materialize(popularity(spark, d), "popularity")
+    rows = base(spark, d)
+    rows = rows.join(rows.groupBy("base").agg(F.count(F.lit(1)).alias("bucket")), "base")
+    rows = rows.join(counts.drop("n"), "item_id", "left").fillna(0, ["target_n", "history_n"]).join(item_groups(spark, d, counts).select("item_id", "grp"), "item_id", "left")
+    return rows.select("item_id", "sid", "tokens", "title", "bucket", (F.col("bucket") > 1).alias("collided"), "target_n", "history_n", F.coalesce("grp", F.lit("mid")).alias("grp"))
 
 
 @P.add("SELECT item_id, min_by(item_title, row_id) AS title FROM title_histories WHERE item_id IS NOT NULL AND trim(item_title) <> '' GROUP BY 1")
