@@ -169,9 +169,8 @@ RER = (
 )
 
 
-@P.add(RER + "SELECT q, item, round(score, 5) AS score, row_number() OVER (PARTITION BY q ORDER BY round(score, 5) DESC, rank, item::VARCHAR) - 1 AS place FROM s")
-def heuristic_rerank(spark: SparkSession, d: str) -> DataFrame:
-    """Weighted sum of rank, source, popularity and similarity to the history, less a penalty for large buckets."""
+def history_raw(spark: SparkSession, d: str) -> DataFrame:
+    """(q, item, rank, the eleven features of candidate and history)."""
     rows = V.ranked(spark, d).where("stream = 'cf'").select("q", "item", "rank", "source", "level", "bucket")
     h = table(spark, d, "candidate_samples").where("sample_id IS NOT NULL").groupBy(F.col("sample_id").alias("q")).agg(F.max_by("history_item_id", "ingested_at").alias("h"))
     each = h.select("q", F.size("h").alias("n"), F.posexplode("h").alias("pos", "hi"))
@@ -180,15 +179,38 @@ def heuristic_rerank(spark: SparkSession, d: str) -> DataFrame:
     met = met.select("q", "item", "pos", "n", F.coalesce(A.dot(F.col("x"), F.col("y")), F.lit(0.0)).alias("c")).groupBy("q", "item").agg(F.max("c").alias("best"), F.max(F.when(F.col("pos") == F.col("n") - 1, F.col("c"))).alias("recent"))
     pop = popularity(spark, d).select(F.col("item_id").alias("item"), "n")
     rows = rows.join(met, ["q", "item"], "left").join(pop, "item", "left").crossJoin(F.broadcast(pop.agg(F.max(F.log1p("n")).alias("m"))))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    score = (
-        F.lit(1.0) / (F.col("rank") + 1) + 0.5 * U.source_score(F.col("source"), F.col("level")) + 0.2 * F.log1p(zero("n")) / F.col("m")
-        + 0.8 * zero("best") + 0.4 * zero("recent") - 0.05 * F.log1p(F.greatest(F.coalesce("bucket", F.lit(1)), F.lit(1)))
-    )
-    rows = rows.select("q", "item", "rank", F.round(score, 5).alias("score"), F.col("item").cast("string").alias("name"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    penalty = F.log1p(F.greatest(F.coalesce("bucket", F.lit(1)), F.lit(1)))
+    rows = rows.select(
+        "q", "item", "rank", (F.lit(1.0) / (F.col("rank") + 1)).alias("sid_rank_score"), U.source_score(F.col("source"), F.col("level")).cast("double").alias("source_score"), (F.log1p(F.coalesce("n", F.lit(0))) / F.col("m")).alias("popularity_score"),
+        zero("best").alias("history_cosine"), zero("recent").alias("recent_cosine"), penalty.alias("bucket_penalty"), penalty.alias("bucket_size_log"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("level") / 4.0, F.lit(0.0)))).alias("expansion_level_score"),
+        F.coalesce((F.col("source") == "exact").cast("double"), F.lit(0.0)).alias("exact_source"), F.coalesce(F.startswith("source", F.lit("prefix@")).cast("double"), F.lit(0.0)).alias("prefix_source"),
+    )
+    score = F.col("sid_rank_score") + 0.5 * F.col("source_score") + 0.2 * F.col("popularity_score") + 0.8 * F.col("history_cosine") + 0.4 * F.col("recent_cosine") - 0.05 * F.col("bucket_penalty")
+    return rows.withColumn("heuristic_score", score)
+
+
+@P.add(RER + "SELECT q, item, round(score, 5) AS score, row_number() OVER (PARTITION BY q ORDER BY round(score, 5) DESC, rank, item::VARCHAR) - 1 AS place FROM s")
+def heuristic_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """Order by a weighted sum of rank, source, popularity and similarity to the history, less a penalty for large buckets."""
+    rows = history_raw(spark, d).select("q", "item", "rank", F.round("heuristic_score", 5).alias("score"), F.col("item").cast("string").alias("name"))
     return U.place(rows, F.desc("score"), F.col("rank"), F.col("name"), name="place").select("q", "item", "score", "place")
 
 
+_LEVEL = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(level / 4.0::DOUBLE, 0)))"
+
+
+@P.add(RER + f"""SELECT c.q, c.item, round(1.0::DOUBLE / (c.rank + 1), 5) AS sid_rank_score, round(CASE WHEN source = 'exact' THEN 1.0::DOUBLE ELSE {_LEVEL} END, 5) AS source_score, round(ln(1 + coalesce(p.n, 0)) / m, 5) AS popularity_score,
+round(coalesce(best, 0), 4) AS history_cosine, round(coalesce(recent, 0), 4) AS recent_cosine, round(ln(1 + greatest(coalesce(bucket, 1), 1)), 5) AS bucket_penalty, round(ln(1 + greatest(coalesce(bucket, 1), 1)), 5) AS bucket_size_log, round({_LEVEL}, 5) AS expansion_level_score,
+CASE WHEN source = 'exact' THEN 1.0::DOUBLE ELSE 0 END AS exact_source, CASE WHEN source LIKE 'prefix@%' THEN 1.0::DOUBLE ELSE 0 END AS prefix_source, round(s.score, 5) AS heuristic_score
+FROM c JOIN s ON s.q = c.q AND s.item = c.item LEFT JOIN sim ON sim.q = c.q AND sim.item = c.item LEFT JOIN pop p ON p.item_id = c.item, mp""")
+def history_features(spark: SparkSession, d: str) -> DataFrame:
+    """The eleven features of a candidate and the history of its query."""
+    rows = history_raw(spark, d).drop("rank")
+    return rows.select("q", "item", *[F.round(c, 4 if c.endswith("cosine") else 5).alias(c) for c in rows.columns[2:]])
+
+
 @P.add()
 def pairwise_ranker(spark: SparkSession, d: str) -> DataFrame:
     """Weights of a linear ranker learnt from targets and all other candidates of each query."""
@@ -233,6 +255,14 @@ def hepo_reward(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("q", "i", G.prefix_reward(F.col("a"), F.col("b")).alias("reward"))
 
 
+@P.add(GEN.replace("WITH ", f"WITH {VEC}, ", 1) + "SELECT q, i, round(coalesce(list_sum(list_transform(list_zip(a.u, b.u), lambda z: z[1] * z[2])), 0), 4) AS reward FROM rw LEFT JOIN uv a ON a.item_id = rw.item LEFT JOIN uv b ON b.item_id = rw.target")
+def semantic_reward(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine of each generation's vector and the target's; 0 where one has none."""
+    u = unit_vectors(spark, d)
+    rows = generations(spark, d).join(u.select(F.col("item_id").alias("item"), F.col("u").alias("x")), "item", "left").join(u.select(F.col("item_id").alias("target"), F.col("u").alias("y")), "target", "left")
+    return rows.select("q", "i", F.round(F.coalesce(A.dot(F.col("x"), F.col("y")), F.lit(0.0)), 4).alias("reward"))
+
+
 @P.add(GEN + ", r AS (SELECT unnest(range(1, 3)) AS copy) SELECT q, i, copy FROM rw, r WHERE i < 2")
 def repeat_sampler(spark: SparkSession, d: str) -> DataFrame:
     return generations(spark, d).where("i < 2").select("q", "i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))).alias("copy"))
@@ -260,11 +290,21 @@ def stream_popularity(spark: SparkSession, d: str) -> DataFrame:
     return T.stream_counts(spark, d)
 
 
-@P.add("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@P.add("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     return T.stream_windows(spark, d, "1 hour")
 
 
+@P.add("SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events) GROUP BY 1, 2 HAVING start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    return T.stream_windows(spark, d, "1 hour", "30 minutes")
+
+
+@P.add("SELECT min(ts) AS start, user_id, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
+def stream_session(spark: SparkSession, d: str) -> DataFrame:
+    return T.stream_sessions(spark, d, "6 hours")
+
+
 @P.add("SELECT user_id, event_id, list(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS history FROM events QUALIFY len(history) > 0")
 def stream_history(spark: SparkSession, d: str) -> DataFrame:
     return T.stream_histories(spark, d, 3)

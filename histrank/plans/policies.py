@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histrank.functions import text as X
+from histrank.operators import alignment as A
 from histrank.operators import fusion as U
 from histrank.operators import metrics as M
 from histrank.plans.base import Plans
@@ -189,6 +190,32 @@ def reward_hits(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# strict joins
+
+
+@P.add(f"WITH {V.TRUTH}, l AS (SELECT sample_id AS q, max(coalesce(len(history_item_id), 0)) AS len FROM candidate_samples WHERE sample_id IS NOT NULL AND target_item_id IS NOT NULL GROUP BY 1) SELECT q, target, len FROM truth JOIN l USING (q)")
+def align_streams(spark: SparkSession, d: str) -> DataFrame:
+    """Targets and lengths of histories, which must be there for the same queries with the same targets."""
+    truth = V.truth(spark, d)
+    rows = table(spark, d, "candidate_samples").where("sample_id IS NOT NULL AND target_item_id IS NOT NULL")
+    other = rows.groupBy(F.col("sample_id").alias("q")).agg(F.max_by("target_item_id", F.struct("ingested_at", -F.col("target_item_id"))).alias("target"), F.max(F.coalesce(F.array_size("history_item_id"), F.lit(0))).cast("bigint").alias("len"))
+    return A.align_strict(truth, other, "q", same=["target"])
+
+
+@P.add("SELECT a.position, a.item_id, b.asin FROM (SELECT row_number() OVER (ORDER BY item_id) - 1 AS position, item_id FROM items) a JOIN (SELECT row_number() OVER (ORDER BY item_id) - 1 AS position, asin FROM items) b USING (position)")
+def positional_zip(spark: SparkSession, d: str) -> DataFrame:
+    """Row i of one table with row i of another."""
+    items = table(spark, d, "items")
+    return A.zip_by_position(items.select("item_id"), ["item_id"], items.select(F.col("item_id").alias("k"), "asin"), ["k"]).select("position", "item_id", "asin")
+
+
+@P.add("SELECT item_id, asin, title FROM items")
+def one_to_one_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables joined on the first column that is unique in both (item_sid isn't, item_id is)."""
+    items = table(spark, d, "items")
+    return A.merge_one_to_one(items.select("item_sid", "item_id", "asin"), items.select("item_sid", "item_id", "title"), ["item_sid", "item_id"])[0].select("item_id", "asin", "title")
+
+
 # cleaning
 
 

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -44,10 +44,27 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     return _run(rows, "complete").select("event_type", "n", F.round("total", 4).alias("total"))
 
 
-def stream_windows(spark: SparkSession, d: str, length: str) -> DataFrame:
-    """(start, event_type, n) of tumbling windows; events later than a day behind the newest are late."""
-    rows = events(spark, d).withWatermark("ts", "1 day").groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return _run(rows.select(F.col("w.start").alias("start"), "event_type", "n"), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+def stream_windows(spark: SparkSession, d: str, length: str, slide: str | None = None) -> DataFrame:
+    """(start, event_type, n) of windows that are closed; events more than a day behind the newest of earlier batches are late and dropped.
+
+    A window is closed, given out once and its state removed when its end is a day behind the newest event.
+    """
+    return _closed(window_counts(events(spark, d), F.window("ts", length, slide), "event_type"))
+
+
+def window_counts(stream: DataFrame, window: Column, by: str) -> DataFrame:
+    """(start, by, n) of the stream's windows, with a watermark of a day on ts."""
+    rows = stream.withWatermark("ts", "1 day").groupBy(window.alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(F.col("w.start").alias("start"), by, "n")
+
+
+def stream_sessions(spark: SparkSession, d: str, gap: str) -> DataFrame:
+    """(start, user_id, n) of closed sessions: events of a user that follow each other within the gap."""
+    return _closed(window_counts(events(spark, d), F.session_window("ts", gap), "user_id"))
+
+
+def _closed(rows: DataFrame) -> DataFrame:
+    return _run(rows, "append").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def stream_histories(spark: SparkSession, d: str, length: int) -> DataFrame:
