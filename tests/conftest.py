@@ -10,11 +10,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
-    from histrank.session import get_spark
+    from histrank.session import clear_shared, get_spark
 
     s = get_spark("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__driver__memory="4g")
     s.sparkContext.setLogLevel("ERROR")
-    return s
+    yield s
+    clear_shared(s)
 
 
 def rows(df):
