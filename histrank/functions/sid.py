@@ -38,3 +38,9 @@ def codes_to_sid(codes: Column, offset: int = 0) -> Column:
 def unpack_codes(packed: Column, levels: int, bits: int) -> Column:
     """Codes of `bits` bits each from a packed number, the lowest bits first."""
     return F.array(*[F.shiftright(packed, i * bits).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(levels)])
+
+
+def normalise_id(x: Column) -> Column:
+    """An item id as text without outer blanks; whole numbers lose a decimal part of zeros."""
+    x = F.trim(x)
+    return F.when(F.rlike(x, F.lit(r"^-?[0-9]+[.]0+$")), F.regexp_replace(x, "[.]0+$", "")).otherwise(x)

@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from histrank.functions.vector import finite
 
@@ -138,3 +139,17 @@ def flatten_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys..., metric, value): a wide report in long form."""
     metrics = [c for c in df.columns if c not in keys]
     return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in metrics]).unpivot(list(keys), metrics, "metric", "value")
+
+
+def flatten_nested(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., metric, value): the leaves of a nested report as texts; paths are joined by dots, lists and maps are JSON, null is empty."""
+
+    def leaves(path: str, kind: T.DataType) -> list[tuple[str, T.DataType]]:
+        if isinstance(kind, T.StructType):
+            return [leaf for f in kind.fields for leaf in leaves(f"{path}.{f.name}", f.dataType)]
+        return [(path, kind)]
+
+    found = [leaf for f in df.schema.fields if f.name not in keys for leaf in leaves(f.name, f.dataType)]
+    text = lambda p, k: F.to_json(F.col(p)) if isinstance(k, (T.ArrayType, T.MapType)) else F.col(p).cast("string")
+    pairs = F.array(*[F.struct(F.lit(p).alias("metric"), F.coalesce(text(p, k), F.lit("")).alias("value")) for p, k in found])
+    return df.select(*keys, F.explode(pairs).alias("x")).select(*keys, "x.metric", "x.value")

@@ -14,11 +14,11 @@ from histrank.operators import metrics as M
 from histrank.operators import quantize as K
 from histrank.operators import rewards as G
 from histrank.operators import sequences as S
-from histrank.plans import data, extra, files, general, learning, policies, ranking, sids
+from histrank.plans import data, extra, files, general, learning, policies, ranking, sids, studies
 from tests.conftest import rows
 
 SF = "/root/testdata/sf0.001"
-MODULES = [general, data, sids, ranking, policies, learning, files, extra]
+MODULES = [general, data, sids, ranking, policies, learning, files, extra, studies]
 
 
 def test_metrics(spark):
