@@ -28,9 +28,9 @@ CENTROIDS, NODES_A_CENTROID = 4_096, 16
 #: Nodes that the centroids are fitted on (the bound of the sample), and rounds of k-means.
 SAMPLE, ROUNDS = 32_768, 4
 #: Cells that a node is searched in.
-PROBES = 4
+PROBES = 3
 #: Length of the beam of a search; in a dense cell it has to be longer than when the graph is built.
-SEARCH_BEAM = 100
+SEARCH_BEAM = 80
 #: Searches of one task.
 QUERIES = 65_536
 #: Nodes of a block of a cluster in the exact step.
