@@ -65,15 +65,21 @@ def fingerprints(ordered: DataFrame, gram: int, window: int) -> DataFrame:
     kept, the rightmost of equal ones, and a minimum that several windows share counts once.  A set of at most
     SHORT items keeps every single item.
     """
-    short = F.size("items") <= SHORT
-    k, w = F.when(short, 1).otherwise(gram), F.when(short, 1).otherwise(window)
-    roll = lambda i: F.aggregate(
-        F.slice("codes", i + 1, k), F.lit(0).cast("bigint"), lambda h, c: F.shiftleft(h, 5).bitwiseXOR(F.shiftrightunsigned(h, 59)).bitwiseXOR(c["hash"])
-    )
-    rank = lambda i: F.array_max(F.transform(F.slice("codes", i + 1, k), lambda c: c["hot"]))
-    hashes = ordered.select("class", "side", "target", F.size("items").alias("m"), w.alias("w"), F.transform(F.sequence(F.lit(0), F.greatest(F.size("items") - k, F.lit(0))), lambda i: F.struct(rank(i).alias("hot"), roll(i).alias("seed"), (-i).alias("back"))).alias("grams"))
-    minima = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("grams") - F.col("w") + 1, F.lit(1))), lambda i: F.array_min(F.slice("grams", i, F.col("w")))))
-    return hashes.select("class", "side", "target", "m", F.explode(minima).alias("g")).select("class", "side", "target", "m", F.col("g.seed").alias("seed"), (-F.col("g.back")).alias("pos"))
+    shifted = lambda x, n: F.slice(x, n + 1, F.greatest(F.size(x) - n, F.lit(0)))
+    single = F.transform("codes", lambda c, i: F.struct(c["hot"].alias("hot"), c["hash"].alias("seed"), (-i).alias("back")))
+    rows = ordered.select("class", "side", "target", F.size("items").alias("m"), single.alias("single"))
+    grams = F.col("single")
+    for n in range(1, gram):
+        rolled = lambda a, b: F.struct(F.greatest(a["hot"], b["hot"]).alias("hot"), F.shiftleft(a["seed"], 5).bitwiseXOR(F.shiftrightunsigned(a["seed"], 59)).bitwiseXOR(b["seed"]).alias("seed"), a["back"].alias("back"))
+        nexts = shifted(F.col("single"), n)
+        grams = F.zip_with(F.slice(grams, F.lit(1), F.size(nexts)), nexts, rolled)
+    rows = rows.withColumn("grams", grams)
+    minima = F.col("grams")
+    for n in range(1, window):
+        nexts = shifted(F.col("grams"), n)
+        minima = F.zip_with(F.slice(minima, F.lit(1), F.size(nexts)), nexts, lambda a, b: F.least(a, b))
+    kept = F.when(F.col("m") <= SHORT, F.col("single")).otherwise(F.array_distinct(minima))
+    return rows.select("class", "side", "target", "m", F.explode(kept).alias("g")).select("class", "side", "target", "m", F.col("g.seed").alias("seed"), (-F.col("g.back")).alias("pos"))
 
 
 def _seeds(found: DataFrame) -> DataFrame:
