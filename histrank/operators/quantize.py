@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from histrank.functions.vector import dot
+from histrank.operators.sequences import group_rank
 from histrank.session import materialize
 
 
@@ -50,8 +55,7 @@ def balanced_codes(rows: DataFrame, key: str, distances: str, capacity: int) ->
     room = rows.select("code").distinct().withColumn("room", F.lit(capacity))
     while True:
         asks = rows.join(F.broadcast(room.where("room > 0")), "code").groupBy(key).agg(F.min(F.struct("d", "code", "room")).alias("b")).select(key, "b.*")
-        nth = F.row_number().over(Window.partitionBy("code").orderBy("d", key))
-        taken = materialize(asks.withColumn("n", nth).where("n <= room").select(key, "code"), "taken")
+        taken = materialize(group_rank(asks, ["code"], ["d", key], "n").where("n < room").select(key, "code"), "taken")
         if taken.isEmpty():
             break
         done = taken if done is None else done.unionByName(taken)
@@ -61,15 +65,85 @@ def balanced_codes(rows: DataFrame, key: str, distances: str, capacity: int) ->
     return done if done is not None else rows.select(key, "code")
 
 
-def truncated_svd(pairs: DataFrame, rank: int) -> DataFrame:
-    """(item_a, factor): rows of U * sqrt(S) of the sparse matrix (item_a, item_b, ppmi), up to the sign of each column."""
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
+def truncated_svd(pairs: DataFrame, rank: int, rounds: int = 15) -> DataFrame:
+    """(item_a, factor): rows of U * sqrt(S) of the symmetric sparse matrix (item_a, item_b, ppmi), up to the sign of each column.
+
+    Subspace iteration: each round multiplies the matrix with `rank` columns (a join and a sum) and makes them orthonormal
+    by their Gram matrix, which has rank x rank numbers and is all that reaches the driver.
+    """
+    start = F.transform(F.sequence(F.lit(0), F.lit(rank - 1)), lambda j: F.xxhash64("item", j) / F.lit(2.0**63))
+    q = pairs.select(F.col("item_b").alias("item")).distinct().withColumn("x", start)
+
+    def times(x: DataFrame) -> DataFrame:
+        each = pairs.join(x.select(F.col("item").alias("item_b"), "x"), "item_b").select("item_a", F.posexplode(F.transform("x", lambda v: v * F.col("ppmi"))).alias("j", "v"))
+        sums = each.groupBy("item_a", "j").agg(F.sum("v").alias("v"))
+        return materialize(sums.groupBy(F.col("item_a").alias("item")).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda e: e["v"]).alias("x")), "columns")
+
+    def products(rows: DataFrame, a: str, b: str) -> np.ndarray:
+        sums = rows.agg(*[F.sum(F.get(a, F.lit(i)) * F.get(b, F.lit(j))) for i in range(rank) for j in range(rank)]).first()
+        return np.array([x or 0.0 for x in sums], float).reshape(rank, rank)
+
+    def turned(rows: DataFrame, m: np.ndarray) -> DataFrame:
+        column = lambda j: F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in m[:, j]]), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
+        return rows.select("item", F.array(*[column(j) for j in range(rank)]).alias("x"))
+
+    for _ in range(rounds):
+        y = times(q)
+        size, basis = np.linalg.eigh(products(y, "x", "x"))
+        size = np.where(size > 1e-12 * max(size.max(), 1e-300), size, np.inf)  # directions that the matrix hasn't
+        q = turned(y, basis / np.sqrt(size))
+    z = times(q).select("item", F.col("x").alias("z"))
+    values, basis = np.linalg.eigh(products(q.join(z, "item"), "x", "z"))
+    order = np.argsort(-np.abs(values), kind="stable")
+    return turned(q, basis[:, order] * np.sqrt(np.abs(values[order]))).select(F.col("item").alias("item_a"), F.col("x").alias("factor"))
+
+
+def reassigned(rows: DataFrame, key: str, rounds: int = 20) -> DataFrame:
+    """(key, prefix, code): rows(key, prefix, distances) with as few equal (prefix, code) as `rounds` rounds allow.
+
+    code is the nearest last-level code.  In each round, of the rows with one (prefix, code) the nearest stays, and the
+    others move on to their next nearest code; a row that has tried all codes stays at its last.
+    """
+    order = F.transform(F.array_sort(F.transform("distances", lambda d, i: F.struct(d.alias("d"), i.alias("code")))), lambda x: x)
+    rows = materialize(rows.select(key, "prefix", order.alias("order"), F.lit(0).alias("tried")), "asks")
+    for _ in range(rounds):
+        at = F.get("order", F.col("tried"))
+        now = rows.select("*", at["code"].alias("code"), at["d"].alias("d"))
+        first = now.groupBy("prefix", "code").agg(F.min(F.struct("d", key)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("prefix", "code", F.col(f"first.{key}").alias("stays"))
+        moving = now.join(first, ["prefix", "code"]).where((F.col(key) != F.col("stays")) & (F.col("tried") + 1 < F.size("order"))).select(key, F.lit(1).alias("m"))
+        moving = materialize(moving, "moving")
+        if moving.isEmpty():
+            break
+        rows = materialize(rows.join(moving, key, "left").select(key, "prefix", "order", (F.col("tried") + F.coalesce("m", F.lit(0))).alias("tried")), "asks")
+    return rows.select(key, "prefix", F.get("order", F.col("tried"))["code"].alias("code"))
+
+
+def best_scores(queries: DataFrame, items: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """(q, item, score): of every query (q, x) the k items (item, u) of the largest inner product, rounded to 5 digits, ties to the smaller item.
+
+    Queries and items meet in blocks of `block` rows; each block gives its k best, so at most k rows per query and block are left.
+    """
 
-    entries = pairs.select("item_a", "item_b", "ppmi").rdd.map(lambda r: MatrixEntry(r[0], r[1], r[2]))
-    svd = CoordinateMatrix(entries).toIndexedRowMatrix().computeSVD(rank, computeU=True)
-    scale = [float(x) ** 0.5 for x in svd.s.toArray()]
-    rows = svd.U.rows.map(lambda r: (int(r.index), [float(x) * s for x, s in zip(r.vector.toArray(), scale)]))
-    return pairs.sparkSession.createDataFrame(rows, "item_a bigint, factor array<double>")
+    def packed(df: DataFrame, key: str, vector: str, name: str) -> tuple[DataFrame, int]:
+        parts = max(1, -(-df.count() // block))
+        rows = df.select(F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias(name), F.struct(F.col(key).alias("k"), F.col(vector).alias("v")).alias("r"))
+        return materialize(rows.groupBy(name).agg(F.collect_list("r").alias(f"{name}_rows")), "block"), parts
+
+    (left, _), (right, n) = packed(queries, "q", "x", "qb"), packed(items, "item", "u", "ib")
+    met = left.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(right, "ib")
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples():
+                x, u = (np.array([r["v"] for r in rows], float) for rows in (row.qb_rows, row.ib_rows))
+                q, item = (np.array([r["k"] for r in rows], np.int64) for rows in (row.qb_rows, row.ib_rows))
+                score = np.round(x @ u.T, 5) + 0.0
+                order = np.lexsort((np.broadcast_to(item, score.shape), -score), axis=1)[:, :k]
+                yield pd.DataFrame({"q": np.repeat(q, order.shape[1]), "item": item[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
+
+    found = met.mapInPandas(best, "q bigint, item bigint, score double")
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "item"))
+    return found.withColumn("n", nth).where(F.col("n") <= k).drop("n")
 
 
 def pairwise_ranker(positives: DataFrame, negatives: DataFrame, names: tuple[str, ...], l2: float = 0.01) -> dict[str, float]:

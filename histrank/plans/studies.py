@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from histrank.functions import sid as N
+from histrank.functions import vector as A
 from histrank.operators import metrics as M
+from histrank.operators import quantize as K
 from histrank.operators.packed import TITLES, packed_values
 from histrank.operators.sequences import global_rank
 from histrank.plans.base import Plans
 from histrank.plans.data import POP, popularity
-from histrank.plans.learning import GEN, generations
+from histrank.plans.learning import GEN, VEC, _centres, generations, unit_vectors
 from histrank.plans.policies import HIT
 from histrank.plans.sids import BASE, C, base
 from histrank.session import materialize, table
@@ -168,4 +170,29 @@ def verdict(says_clean: Column, nonzero: Column, signals: list[Column]) -> Colum
     return F.when(~says_clean, "CONFIRMED_LEAKAGE").when(nonzero > 0, "POSSIBLE_LEAKAGE").when(every, "CLEAN_TRAIN_ONLY").when(unknown, "UNKNOWN").otherwise("POSSIBLE_LEAKAGE")
 
 
+# vectors
+
+
+@P.add(f"""WITH {VEC}, h AS (SELECT sample_id AS q, any_value(history_item_id) AS h FROM candidate_samples WHERE sample_id % 100 = 0 GROUP BY 1 HAVING count(DISTINCT history_item_id) <= 1),
+e AS (SELECT q, u, i FROM (SELECT q, unnest(h) AS item_id, 1 AS i FROM h) JOIN uv USING (item_id)), m AS (SELECT q, j, avg(x) AS x FROM (SELECT q, unnest(u) AS x, unnest(range(64)) AS j FROM e) GROUP BY 1, 2), v AS (SELECT q, list(x ORDER BY j) AS x FROM m GROUP BY 1)
+SELECT q, item, score FROM (SELECT q, item_id AS item, round(list_sum(list_transform(list_zip(x, u), lambda z: z[1] * z[2])), 5) + 0.0 AS score FROM v, uv) QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, item) <= 20""")
+def direct_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 items whose vectors score best against the mean vector of the history, for samples whose id is divisible by 100."""
+    u = unit_vectors(spark, d)
+    rows = table(spark, d, "candidate_samples").where("sample_id % 100 = 0").groupBy(F.col("sample_id").alias("q")).agg(F.first("history_item_id", ignorenulls=True).alias("h"), F.countDistinct("history_item_id").alias("n")).where("n <= 1")
+    each = rows.select("q", F.explode("h").alias("item_id")).join(u, "item_id").select("q", F.posexplode("u").alias("j", "x"))
+    means = each.groupBy("q", "j").agg(F.avg("x").alias("x")).groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda e: e["x"]).alias("x"))
+    return K.best_scores(means, u.select(F.col("item_id").alias("item"), "u"), 20)
+
+
+@P.add()
+def collision_reassignment(spark: SparkSession, d: str) -> DataFrame:
+    """Residual codes of three levels whose last one moves on where several items share all of them."""
+    rows = K.residual_kmeans(table(spark, d, "embeddings"), "vec_id", "embedding", levels=2, k=8).select("vec_id", F.col("codes").alias("prefix"))
+    vectors = table(spark, d, "embeddings").select("vec_id", "label", A.finite(F.col("embedding")).alias("v"))
+    centres = _centres(vectors).orderBy("label").collect()  # a fixed number of labels
+    far = F.array(*[F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in c["centre"]]), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x) for c in centres])
+    return K.reassigned(rows.join(vectors.select("vec_id", far.alias("distances")), "vec_id"), "vec_id")
+
+
 QUERIES, ORACLE = P.queries, P.oracle

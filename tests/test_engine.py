@@ -91,6 +91,30 @@ def test_quantisation(spark):
     assert len(got) == 9 and set(Counter(c for _, c in got).values()) == {3}
 
 
+def test_svd_and_retrieval(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    b = rng.normal(size=(12, 3))
+    m = b @ b.T
+    pairs = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(12) for j in range(12)], "item_a bigint, item_b bigint, ppmi double")
+    f = np.array([r["factor"] for r in K.truncated_svd(pairs, 3).orderBy("item_a").collect()])
+    assert np.allclose(f @ f.T, m, atol=1e-6)
+    assert K.truncated_svd(pairs, 5).count() == 12 and K.truncated_svd(pairs.where("false"), 2).count() == 0
+    u, x = rng.normal(size=(50, 4)), rng.normal(size=(7, 4))
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "item bigint, u array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "q bigint, x array<double>")
+    s = np.round(x @ u.T, 5)
+    want = sorted((i, int(j), float(s[i, j])) for i in range(7) for j in np.lexsort((np.arange(50), -s[i]))[:5])
+    assert sorted(tuple(r) for r in K.best_scores(queries, items, 5, block=8).collect()) == want
+
+
+def test_collisions_move_on(spark):
+    df = spark.createDataFrame([(i, [0], [1.0 + i, 2.0, 3.0]) for i in range(4)], "id int, prefix array<int>, distances array<double>")
+    got = {r["id"]: r["code"] for r in K.reassigned(df, "id").collect()}
+    assert got[0] == 0 and set(got.values()) == {0, 1, 2}  # four rows, three codes
+
+
 def _norm(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 9) + 0.0
