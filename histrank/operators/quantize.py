@@ -167,3 +167,37 @@ def balanced_logistic(rows: DataFrame, names: tuple[str, ...], label: str) -> Da
     data = rows.withColumns({"features": array_to_vector(F.array(*names)), "label": F.col(label).cast("double"), "weight": weight})
     scored = LogisticRegression(weightCol="weight", regParam=0.01, maxIter=30).fit(data).transform(data)
     return scored.withColumn("score", F.get(vector_to_array("probability"), F.lit(1))).select(*rows.columns, "score")
+
+
+def sinkhorn_codes(rows: DataFrame, key: str, distances: str, capacity: int, epsilon: float = 0.05, rounds: int = 50) -> DataFrame:
+    """(key, code): a balanced mapping by entropic transport; codes fill up to `capacity`.
+
+    distances is an array with one entry for each code.  Row weights are made to sum to 1 and code weights to be equal, in turn;
+    in each round the partitions' sums, one number for each code, are all that reaches the driver.  Rows then take the codes of the
+    largest weight that have room (balanced_codes).  Costs are divided by their mean over all rows and codes.
+    """
+    rows = materialize(rows.select(key, F.col(distances).alias("d")), "costs")
+    scale = rows.select(F.avg(F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / F.size("d")).alias("m"), F.count(F.lit(1)).alias("n"), F.max(F.size("d")).alias("k")).first()
+    if not scale["n"]:
+        return rows.select(key, F.lit(0).alias("code"))
+    n, k, mean = scale["n"], scale["k"], scale["m"] or 1.0
+    price = np.zeros(k)
+    for _ in range(rounds):
+
+        def partial(batches: Iterator[pd.DataFrame], price: np.ndarray = price) -> Iterator[pd.DataFrame]:
+            total = np.zeros(k)
+            for b in batches:
+                if len(b):
+                    w = price - np.stack(b.d.to_numpy()) / (mean * epsilon)
+                    w = np.exp(w - w.max(axis=1, keepdims=True))
+                    total += (w / w.sum(axis=1, keepdims=True)).sum(axis=0)
+            yield pd.DataFrame({"code": np.arange(k, dtype=np.int32), "mass": total})
+
+        mass = {r["code"]: r["m"] for r in rows.select("d").mapInPandas(partial, "code int, mass double").groupBy("code").agg(F.sum("mass").alias("m")).collect()}
+        step = np.log(n / k) - np.log(np.maximum([mass[c] for c in range(k)], 1e-300))
+        price = price + step
+        if np.abs(step).max() < 1e-3:
+            break
+    book = F.array(*[F.lit(float(p)) for p in price])
+    cost = F.zip_with("d", book, lambda d, p: d / F.lit(mean * epsilon) - p)
+    return balanced_codes(rows.select(key, cost.alias("d")), key, "d", capacity)

@@ -122,3 +122,28 @@ def min_max(rows: DataFrame, value: str, name: str) -> DataFrame:
     ends = rows.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     scaled = F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.5))
     return rows.crossJoin(F.broadcast(ends)).withColumn(name, F.when(F.col(value).isNotNull(), scaled)).drop("_lo", "_hi")
+
+
+def adaptive_core(rows: DataFrame, k: int, start: int, first: int, least: int, year: int = 31_536_000) -> tuple[DataFrame, int]:
+    """(k-core of the rows from a start on, the start): while fewer than `least` items are left and the start lies behind
+    `first`, it moves back by a year and the core is made anew."""
+    rows = materialize(rows, "window")
+    earliest = rows.agg(F.min("ts")).first()[0]
+    while True:
+        inside = rows.where(F.col("ts") >= start)
+        last = start <= first
+        if last or inside.select("item_id").distinct().count() >= least:  # a core has no more items than its window
+            core = kcore(inside, k)[0]
+            if last or core.select("item_id").distinct().count() >= least:
+                return core, start
+            if earliest is None or start <= earliest:  # the window holds all rows, so the core stays as it is
+                return core, start - year * -(-(start - first) // year)
+        start -= year
+
+
+def first_rows(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows in the order; an error if there are fewer."""
+    found = materialize(rows.orderBy(*order).limit(n), "first")
+    if (have := found.count()) < n:
+        raise ValueError(f"{n} rows asked for, {have} there")
+    return found

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from histrank.functions import text as X
 from histrank.operators import fusion as U
 from histrank.operators import metrics as M
-from histrank.operators.sequences import global_rank
+from histrank.operators.sequences import first_rows, global_rank
 from histrank.plans.base import Plans
 from histrank.plans.data import H, I, POP, popularity
 from histrank.plans.learning import GEN, generations
@@ -26,7 +26,7 @@ P = Plans()
 @P.add(I + "SELECT user_id, item_id, ts FROM (SELECT *, row_number() OVER (ORDER BY ts, user_id, item_id) AS n FROM inter) WHERE n <= 100")
 def row_limit(spark: SparkSession, d: str) -> DataFrame:
     """The first hundred rows of the total order (a limit is the operator)."""
-    return V.inter(spark, d).select("user_id", "item_id", "ts").orderBy("ts", "user_id", "item_id").limit(100)
+    return first_rows(V.inter(spark, d).select("user_id", "item_id", "ts"), ["ts", "user_id", "item_id"], 100)
 
 
 @P.add("SELECT user_id FROM (SELECT DISTINCT user_id FROM interactions WHERE user_id IS NOT NULL) ORDER BY sha256('7:' || user_id) LIMIT 50")

@@ -10,6 +10,7 @@ from histrank.functions import vector as A
 from histrank.operators import metrics as M
 from histrank.operators import quantize as K
 from histrank.operators.packed import TITLES, packed_values
+from histrank.operators import sequences as Q
 from histrank.operators.sequences import global_rank
 from histrank.plans.base import Plans
 from histrank.plans.data import POP, popularity
@@ -195,4 +196,31 @@ def collision_reassignment(spark: SparkSession, d: str) -> DataFrame:
     return K.reassigned(rows.join(vectors.select("vec_id", far.alias("distances")), "vec_id"), "vec_id")
 
 
+@P.add("SELECT count(*) AS n, count(DISTINCT vec_id) AS n_keys, (SELECT count(DISTINCT label) FROM embeddings) AS n_codes, true AS within_capacity FROM embeddings")
+def sinkhorn_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors mapped to the label centres by entropic transport: all are placed, and no code holds more than its capacity."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "label", A.finite(F.col("embedding")).alias("v"))
+    centres = _centres(vectors).orderBy("label").collect()  # a fixed number of labels
+    far = F.array(*[F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in c["centre"]]), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x) for c in centres])
+    capacity = -(-vectors.count() // max(1, len(centres)))
+    codes = materialize(K.sinkhorn_codes(vectors.select("vec_id", far.alias("d")), "vec_id", "d", capacity), "codes")
+    sizes = codes.groupBy("code").agg(F.count(F.lit(1)).alias("c")).agg(F.count(F.lit(1)).alias("n_codes"), (F.max("c") <= capacity).alias("within_capacity"))
+    return codes.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("n_keys")).crossJoin(F.broadcast(sizes))
+
+
+@P.add()
+def adaptive_kcore_window(spark: SparkSession, d: str) -> DataFrame:
+    """The core of the interactions from a start on that moves back year by year until enough items are left."""
+    return Q.adaptive_core(V.inter(spark, d), k=5, start=1_530_000_000, first=820_454_400, least=300)[0]
+
+
+@P.add("SELECT count(*) AS n_rows, count(DISTINCT sample_id) AS n_samples, count(*) FILTER (WHERE history_item_id IS NULL) AS null_histories, count(*) FILTER (WHERE len(history_item_id) = 0) AS empty_histories, min(len(history_item_id)) AS shortest, max(len(history_item_id)) AS longest, round(avg(len(history_item_id)), 6) AS mean, count(DISTINCT target_item_id) AS n_targets, count(*) FILTER (WHERE target_item_id IS NULL) AS null_targets FROM candidate_samples")
+def history_inventory(spark: SparkSession, d: str) -> DataFrame:
+    n = F.array_size("history_item_id")
+    return table(spark, d, "candidate_samples").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("sample_id").alias("n_samples"), F.count_if(F.col("history_item_id").isNull()).alias("null_histories"), F.count_if(n == 0).alias("empty_histories"),
+        F.min(n).alias("shortest"), F.max(n).alias("longest"), F.round(F.avg(n), 6).alias("mean"), F.countDistinct("target_item_id").alias("n_targets"), F.count_if(F.col("target_item_id").isNull()).alias("null_targets"),
+    )
+
+
 QUERIES, ORACLE = P.queries, P.oracle

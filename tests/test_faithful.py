@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from histrank.functions import text as X
 from histrank.operators import alignment as A
+from histrank.operators import quantize as K
 from histrank.operators import sequences as S
 from histrank.operators.cooccurrence import cooccurrences
 from histrank.operators.expansion import expand
@@ -96,3 +97,27 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_sinkhorn_fills_codes_evenly(spark):
+    d = spark.createDataFrame([(i, [float(i), 4.0 + (i % 2), 9.0 - i]) for i in range(9)], "id int, d array<double>")
+    got = K.sinkhorn_codes(d, "id", "d", 3).collect()
+    assert sorted(r["id"] for r in got) == list(range(9)) and {c: [r["code"] for r in got].count(c) for c in range(3)} == {0: 3, 1: 3, 2: 3}
+    assert {r["id"]: r["code"] for r in got}[0] == 0 and {r["id"]: r["code"] for r in got}[8] == 2
+    assert K.sinkhorn_codes(d.where("false"), "id", "d", 3).count() == 0
+
+
+def test_the_window_moves_back_until_there_are_items(spark):
+    """Two items a year, each with two users: three items need two years."""
+    rows_ = [(u, 10 * y + i, y * 100 + i) for y in range(4) for i in range(2) for u in ("a", "b")]
+    df = spark.createDataFrame(rows_, "user_id string, item_id bigint, ts bigint")
+    core, start = S.adaptive_core(df, k=2, start=300, first=0, least=3, year=100)
+    assert start == 200 and {r["item_id"] for r in core.collect()} == {20, 21, 30, 31}
+    core, start = S.adaptive_core(df, k=2, start=300, first=0, least=99, year=100)
+    assert start == 0 and core.count() == 16
+
+
+def test_too_few_rows_are_an_error(spark):
+    assert rows(S.first_rows(spark.range(5), ["id"], 2)) == [(0,), (1,)]
+    with pytest.raises(ValueError, match="5 there"):
+        S.first_rows(spark.range(5), ["id"], 6)
