@@ -274,13 +274,13 @@ def propensity(spark: SparkSession, d: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(rows.agg(F.sum(F.col("n") + 1).alias("t")))).select("item_id", F.round(F.pow((F.col("n") + 1) / F.col("t"), F.lit(0.05)), 6).alias("propensity"))
 
 
-@P.add(f"WITH {V.RANKED} SELECT q, item, rank, round(1.0::DOUBLE / (rank + 1), 6) AS reciprocal, round((score - avg(score) OVER w) / CASE WHEN stddev_pop(score) OVER w > 1e-9 THEN stddev_pop(score) OVER w ELSE 1 END, 5) AS z, round(max(score) OVER w - score, 6) AS margin, round(score - avg(score) FILTER (rank < 100) OVER w, 6) AS minus_mean FROM ranked WHERE stream = 'direct' WINDOW w AS (PARTITION BY q)")
+@P.add(f"WITH {V.RANKED} SELECT q, item, rank, round(1.0::DOUBLE / (rank + 1), 6) AS reciprocal, round((score - avg(score) OVER w) / CASE WHEN stddev_pop(score) OVER w > 1e-9 THEN stddev_pop(score) OVER w ELSE 1 END, 5) AS z, round(max(score) OVER w - score, 6) AS margin, round(score - avg(score) FILTER (rank < 100) OVER w, 11) AS minus_mean FROM ranked WHERE stream = 'direct' WINDOW w AS (PARTITION BY q)")
 def score_features(spark: SparkSession, d: str) -> DataFrame:
     """Features of the direct scores; a flat list has the deviation 1.  z goes over the whole list, minus_mean over its first hundred."""
     rows = V.ranked(spark, d).where("stream = 'direct'")
     rows = U.with_totals(rows, F.avg("score").alias("mean"), F.stddev_pop("score").alias("deviation"), F.max("score").alias("most"), F.avg(F.when(F.col("rank") < 100, F.col("score"))).alias("top"))
     z = (F.col("score") - F.col("mean")) / F.when(F.col("deviation") > 1e-9, F.col("deviation")).otherwise(1.0)
-    return rows.select("q", "item", "rank", F.round(F.lit(1.0) / (F.col("rank") + 1), 6).alias("reciprocal"), F.round(z, 5).alias("z"), F.round(F.col("most") - F.col("score"), 6).alias("margin"), F.round(F.col("score") - F.col("top"), 6).alias("minus_mean"))
+    return rows.select("q", "item", "rank", F.round(F.lit(1.0) / (F.col("rank") + 1), 6).alias("reciprocal"), F.round(z, 5).alias("z"), F.round(F.col("most") - F.col("score"), 6).alias("margin"), F.round(F.col("score") - F.col("top"), 11).alias("minus_mean"))
 
 
 # streams and their batch twins
