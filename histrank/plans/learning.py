@@ -173,10 +173,18 @@ def history_raw(spark: SparkSession, d: str) -> DataFrame:
     """(q, item, rank, the eleven features of candidate and history)."""
     rows = V.ranked(spark, d).where("stream = 'cf'").select("q", "item", "rank", "source", "level", "bucket")
     h = table(spark, d, "candidate_samples").where("sample_id IS NOT NULL").groupBy(F.col("sample_id").alias("q")).agg(F.max_by("history_item_id", "ingested_at").alias("h"))
-    each = h.select("q", F.size("h").alias("n"), F.posexplode("h").alias("pos", "hi"))
     u = unit_vectors(spark, d)
-    met = rows.select("q", "item").join(each, "q").join(u.select(F.col("item_id").alias("item"), F.col("u").alias("x")), "item", "left").join(u.select(F.col("item_id").alias("hi"), F.col("u").alias("y")), "hi", "left")
-    met = met.select("q", "item", "pos", "n", F.coalesce(A.dot(F.col("x"), F.col("y")), F.lit(0.0)).alias("c")).groupBy("q", "item").agg(F.max("c").alias("best"), F.max(F.when(F.col("pos") == F.col("n") - 1, F.col("c"))).alias("recent"))
+    each = h.select("q", F.size("h").alias("n"), F.posexplode("h").alias("pos", "hi")).join(u.select(F.col("item_id").alias("hi"), F.col("u").alias("y")), "hi")
+    # one row of vectors for each query, so that candidates aren't multiplied by the history
+    known = each.groupBy("q").agg(F.collect_list(F.struct("pos", "y")).alias("near"))
+    past = h.where(F.size("h") > 0).select("q", F.size("h").alias("n")).join(known, "q", "left")
+    met = rows.select("q", "item").join(u.select(F.col("item_id").alias("item"), F.col("u").alias("x")), "item").join(past, "q")
+    cosines = F.transform(F.coalesce("near", F.array().cast(known.schema["near"].dataType)), lambda e: F.struct(e["pos"].alias("pos"), A.dot(F.col("x"), e["y"]).alias("c")))
+    met = met.select("q", "item", "n", cosines.alias("cs"))
+    unknown = F.when(F.size("cs") < F.col("n"), F.lit(0.0))  # an item of the history without a vector counts as 0
+    best = F.greatest(F.array_max(F.transform("cs", lambda e: e["c"])), unknown)
+    recent = F.get(F.transform(F.filter("cs", lambda e: e["pos"] == F.col("n") - 1), lambda e: e["c"]), F.lit(0))
+    met = met.select("q", "item", best.alias("best"), recent.alias("recent"))
     pop = popularity(spark, d).select(F.col("item_id").alias("item"), "n")
     rows = rows.join(met, ["q", "item"], "left").join(pop, "item", "left").crossJoin(F.broadcast(pop.agg(F.max(F.log1p("n")).alias("m"))))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
