@@ -182,11 +182,18 @@ def one_to_one_check(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "samples").groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("target_item_id").alias("n_targets"), F.max(F.coalesce("split", F.lit(""))).alias("split")).where("n > 1")
 
 
-@P.add("WITH a AS (SELECT DISTINCT sample_id, row_index, target_item_id FROM samples), b AS (SELECT DISTINCT sample_id, row_index, target_item_id FROM candidate_samples) SELECT count(*) AS n, count_if(a.target_item_id IS NOT DISTINCT FROM b.target_item_id) AS same_target FROM a JOIN b USING (sample_id)")
+@P.add("""WITH a AS (SELECT row_number() OVER (ORDER BY sample_id) AS n, * FROM (SELECT sample_id, arg_min({'s': coalesce(lower(trim(split)), '-'), 't': coalesce(target_item_id, -1), 'h': coalesce(history_item_id, '-')}, ingested_at) AS x FROM samples WHERE sample_id IS NOT NULL GROUP BY 1)),
+b AS (SELECT row_number() OVER (ORDER BY sample_id) AS n, * FROM (SELECT sample_id, {'s': max(coalesce(lower(trim(split)), '-')), 't': max(coalesce(target_item_id, -1)), 'h': max(coalesce(history_item_id, '-'))} AS y FROM samples WHERE sample_id IS NOT NULL GROUP BY 1))
+SELECT count(*) AS n, count(*) FILTER (WHERE a.sample_id = b.sample_id) AS same_id, count(*) FILTER (WHERE x.s = y.s) AS same_split, count(*) FILTER (WHERE x.t = y.t) AS same_target, count(*) FILTER (WHERE x.h = y.h) AS same_history FROM a FULL JOIN b USING (n)""")
 def split_alignment(spark: SparkSession, d: str) -> DataFrame:
-    side = lambda t, c: table(spark, d, t).select("sample_id", "row_index", F.col("target_item_id").alias(c)).distinct()
-    rows = side("samples", "a").drop("row_index").withColumn("x", F.lit(1)).join(side("candidate_samples", "b").drop("row_index"), "sample_id")
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a").eqNullSafe(F.col("b"))).alias("same_target"))
+    """Two versions of the samples row by row: the first rows that came in against the largest values of all repeats, field by field."""
+    rows = table(spark, d, "samples").where("sample_id IS NOT NULL").select("sample_id", "ingested_at", F.coalesce(F.lower(F.trim("split")), F.lit("-")).alias("s"), F.coalesce("target_item_id", F.lit(-1)).alias("t"), F.coalesce("history_item_id", F.lit("-")).alias("h"))
+    first = rows.groupBy("sample_id").agg(F.min_by(F.struct("s", "t", "h"), "ingested_at").alias("x"))
+    largest = rows.groupBy("sample_id").agg(F.struct(F.max("s").alias("s"), F.max("t").alias("t"), F.max("h").alias("h")).alias("y"))
+    (a, _), (b, _) = global_rank(first, ["sample_id"], "n"), global_rank(largest, ["sample_id"], "n")
+    both = a.select("n", F.col("sample_id").alias("i"), "x").join(b.select("n", F.col("sample_id").alias("k"), "y"), "n", "full")
+    same = lambda p, q, name: F.count_if(F.coalesce(F.col(p) == F.col(q), F.lit(False))).alias(name)
+    return both.agg(F.count(F.lit(1)).alias("n"), same("i", "k", "same_id"), same("x.s", "y.s", "same_split"), same("x.t", "y.t", "same_target"), same("x.h", "y.h", "same_history"))
 
 
 # aggregates
