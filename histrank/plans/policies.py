@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histrank.functions import text as X
@@ -76,31 +76,42 @@ SELECT config, n.n AS n, n_candidates, in_pool, hits20, round(hits20::DOUBLE / n
   round(coalesce((n_candidates - in_pool)::DOUBLE / nullif(n_candidates, 0), 0), 6) AS noise, round(coalesce((added - added_hits)::DOUBLE / nullif(added, 0), 0), 6) AS added_noise FROM m, n, h""")
 def policy_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Every policy's hits, sizes, preserved and lost hits of cf, and shares of candidates that aren't the target."""
-    z = materialize(streams(spark, d), "streams")
+    z = materialize(U.either(streams(spark, d)).select("q", "item", "cf", "direct", "both", "low"), "streams")
     truth = V.truth(spark, d)
-    union = U.ordered_union(z).select("q", "item", "rank", "cf")
-    own = z.groupBy("q").agg(F.count("cf").alias("ncf"))
-    kinds = F.array(*[F.struct(F.lit(n).alias("config"), F.lit(x).cast("bigint").alias("ex")) for n, x in EXCLUSIVE.items()])
-    parts = [union.join(own, "q").withColumn("c", F.explode(kinds)).where("rank < ncf + c.ex").select("c.config", "q", "item", "rank", "cf")]
-    parts.append(POLICIES["direct_only"](z).select(F.lit("direct_only").alias("config"), "q", "item", "rank", "cf"))
-    grid = F.array(*[F.struct(F.lit(n).alias("config"), F.lit(w).alias("w"), F.lit(b).alias("b")) for n, (w, b) in GRID.items()])
-    rows = U.either(z).withColumn("c", F.explode(grid)).select("c.config", "q", "item", "cf", "low", (F.coalesce(F.lit(1.0) / (F.col("cf") + 61), F.lit(0.0)) + F.coalesce(F.col("c.w") / (F.col("direct") + 61), F.lit(0.0)) + F.when(F.col("both"), F.col("c.b")).otherwise(0.0)).alias("fused"))
-    first = U.first_places(rows, 20, F.desc(F.round("fused", 12)), F.col("low"), F.col("item"), by=("config", "q")).select("config", "q", "item", "rank")
-    placed = rows.join(first, ["config", "q", "item"], "left")  # places beyond 20 count for the size only
-    sizes = rows.groupBy("config", "q").agg((F.count(F.lit(1)) - 1).cast("int").alias("last"))
-    parts.append(placed.join(sizes, ["config", "q"]).select("config", "q", "item", F.coalesce("rank", "last").alias("rank"), "cf"))
-    orders = parts[0].unionByName(parts[1]).unionByName(parts[2]).join(truth, "q")
-    hit, in20 = F.col("item") == F.col("target"), F.coalesce(F.col("rank") < 20, F.lit(False))
-    new = F.col("cf").isNull()
-    inside = placed.select("config", "q", "item", F.col("rank").isNotNull().alias("top"))
-    orders = orders.join(inside, ["config", "q", "item"], "left").withColumn("top", F.coalesce("top", in20))
-    m = orders.groupBy("config").agg(
-        F.count(F.lit(1)).alias("n_candidates"), F.count_if(hit).alias("in_pool"), F.count_if(hit & F.col("top")).alias("hits20"), F.count_if(new).alias("added"), F.count_if(new & hit).alias("added_hits"),
-        F.count_if(hit & F.col("top") & (F.col("cf") < 20)).alias("preserved"), (F.max("rank") + 1).cast("bigint").alias("largest"),
+    grid = list(GRID.values())
+
+    def fused(at: str, w: float, b: float) -> Column:
+        score = F.coalesce(F.lit(1.0) / (F.col(f"{at}cf") + 61), F.lit(0.0)) + F.coalesce(F.lit(w) / (F.col(f"{at}direct") + 61), F.lit(0.0)) + F.when(F.col(f"{at}both"), F.lit(b)).otherwise(0.0)
+        return F.round(score, 12)
+
+    # An order counts for its size and the target's place only, which is the number of candidates before it: no list is ordered.
+    # Merge joins, as the estimated size of z falls short of what a broadcast of it holds in the driver.
+    found = z.hint("merge").join(truth.withColumnRenamed("target", "item"), ["q", "item"])
+    found = found.select("q", *[F.col(c).alias(f"t_{c}") for c in ("item", "cf", "direct", "both", "low")])
+    found = found.select("q", "t_item", "t_cf", "t_direct", "t_low", *[fused("t_", w, b).alias(f"t_{i}") for i, (w, b) in enumerate(grid)])
+    rows = z.hint("merge").join(truth.select("q").hint("merge").join(found, "q", "left"), "q")
+    new, tie = F.col("cf").isNull(), (F.col("low") < F.col("t_low")) | ((F.col("low") == F.col("t_low")) & (F.col("item") < F.col("t_item")))
+    ahead = [F.count_if((fused("", w, b) > F.col(f"t_{i}")) | ((fused("", w, b) == F.col(f"t_{i}")) & tie)).alias(f"p_{i}") for i, (w, b) in enumerate(grid)]
+    # by struct(q), as a shuffle of sums after the join lets AQE split a query of many rows
+    sums = rows.groupBy(F.struct("q"), "t_item", "t_cf", "t_direct").agg(
+        F.count(F.lit(1)).alias("n"), F.count("cf").alias("ncf"), F.count("direct").alias("nd"), F.count_if(new).alias("nx"), F.count_if(new & (F.col("direct") < F.col("t_direct"))).alias("nth"), *ahead
     )
-    n = truth.agg(F.count(F.lit(1)).alias("n"))
-    cf_hits = z.join(truth, "q").where("item = target AND cf < 20").agg(F.count(F.lit(1)).alias("cf_hits"))
-    m = m.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(cf_hits))
+    hit, far = F.col("t_item").isNotNull(), F.coalesce("t_cf", F.col("ncf") + F.col("nth"))
+
+    def policy(name: str, size: Column, added: Column, inside: Column, place: Column) -> Column:
+        return F.struct(F.lit(name).alias("config"), size.alias("size"), added.alias("added"), F.coalesce(inside, F.lit(False)).alias("inside"), place.cast("bigint").alias("place"))
+
+    most = {name: F.lit(x).cast("bigint") for name, x in EXCLUSIVE.items()}
+    each = [policy(name, F.col("ncf") + F.least("nx", x), F.least("nx", x), hit & (far < F.col("ncf") + x), far) for name, x in most.items()]
+    each.append(policy("direct_only", F.col("nd"), F.col("nx"), F.col("t_direct").isNotNull(), F.col("t_direct")))
+    each += [policy(name, F.col("n"), F.col("nx"), hit, F.col(f"p_{i}")) for i, name in enumerate(GRID)]
+    orders = sums.select("t_cf", F.explode(F.array(*each)).alias("c")).select("t_cf", "c.*")
+    hit20, own = F.col("inside") & (F.col("place") < 20), F.coalesce(F.col("t_cf") < 20, F.lit(False))
+    m = orders.groupBy("config").agg(
+        F.sum("size").alias("n_candidates"), F.count_if("inside").alias("in_pool"), F.count_if(hit20).alias("hits20"), F.sum("added").alias("added"), F.count_if(F.col("inside") & F.col("t_cf").isNull()).alias("added_hits"),
+        F.count_if(hit20 & own).alias("preserved"), F.max("size").alias("largest"), F.count_if(own).alias("cf_hits"),
+    ).where("n_candidates > 0")
+    m = m.crossJoin(F.broadcast(truth.agg(F.count(F.lit(1)).alias("n"))))
     return m.select(
         "config", "n", "n_candidates", "in_pool", "hits20", M.rate(F.col("hits20"), F.col("n")).alias("hr20"), M.rate(F.col("n_candidates"), F.col("n")).alias("mean_size"), "largest", "preserved",
         (F.col("cf_hits") - F.col("preserved")).alias("lost"), "added", "added_hits",
