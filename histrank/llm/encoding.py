@@ -6,8 +6,8 @@ chain whose strict decoding gives words of one known language is a candidate for
 passage as it is and with each candidate is compressed with a zstandard dictionary of each language; the
 shortest description, the cost of its chain included, wins, and the text stays as it is where none is shorter.
 
-The dictionaries and word lists are fitted on a bounded sample of labelled rows (SAMPLE_TEXTS texts for each language,
-chosen by hash); all documents are then examined whole.
+The dictionaries and word lists are fitted on all labelled texts, whose words and lines are counted by Spark: a word is
+listed by its share of the language's texts, a dictionary holds the most frequent lines.  All documents are then examined whole.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import html
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Texts of each language that the word lists and dictionaries are fitted on (the bound of the sample).
-SAMPLE_TEXTS = 500
-#: Texts of the sample that must hold a word for it to be listed.
-LEAST_TEXTS = 3
+from histrank.session import materialize
+
+#: Texts of a language that must hold a word for it to be listed, and their share where the language has many.
+LEAST_TEXTS, LEAST_SHARE = 3, 0.006
 #: Share of the texts that must hold a word of one letter.
 SINGLE_SHARE = 0.05
 #: Bytes of each language's dictionary.
@@ -40,7 +40,7 @@ UNLISTED_COST = 3.0
 CONTEXT = 200
 #: Level of compression.
 LEVEL = 12
-#: Chunks of text whose candidates a worker remembers before it starts anew.
+#: Chunks of text whose candidates a worker remembers before it starts anew, and counts that it holds before it hands them on.
 CACHE_CHUNKS = 200_000
 
 # Letters of each language beside a-z.
@@ -176,29 +176,95 @@ def _misread(word: str, n: int, counts: Counter) -> bool:
     return False
 
 
-def fit_languages(sample: list[tuple[str, str]]) -> Languages:
-    """Languages from (language, text) pairs: words whose letters the language has, in at least LEAST_TEXTS texts."""
-    seen: dict[str, Counter] = defaultdict(Counter)
-    signs: dict[str, Counter] = defaultdict(Counter)
-    texts: Counter = Counter()
-    lines: dict[str, Counter] = defaultdict(Counter)
-    for lang, text in sample:
-        text = unicodedata.normalize("NFC", text)
-        lines[lang].update(set(text.split("\n")))
-        signs[lang].update({c for c in set(text) if not c.isascii()})
-        if lang in LETTERS:
-            texts[lang] += 1
-            whole = (w for c in text.split() for w in PARTS.split(c.strip(EDGES)) if w.isalpha())
-            seen[lang].update({w for w in map(lower, whole) if _spelled(w, lang)})
-    words = {lang: frozenset(w for w, n in c.items() if n >= max(LEAST_TEXTS, SINGLE_SHARE * texts[lang] * (len(w) == 1)) and not w.isascii() and not _misread(w, n, c)) for lang, c in seen.items()}
-    japanese = frozenset(c for c, n in signs["ja"].items() if n >= LEAST_TEXTS and _japanese(c)) | frozenset(JAPANESE_SIGNS)
+#: A word, line or character of a language (l) and the number of texts that hold it; the empty word stands for the texts themselves.
+COUNTS = "l string, part string, n bigint"
+
+
+def _counted(batches: Iterator[pa.RecordBatch], parts: Callable[[str, str], Iterable[str]]) -> Iterator[pa.RecordBatch]:
+    """COUNTS of the parts of each (l, t), in pieces that are to be added up."""
+    counts: Counter = Counter()
+
+    def rows() -> pa.RecordBatch:
+        keys = list(counts)
+        out = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(out, names=["l", "part", "n"])
+
+    for b in batches:
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            counts.update([(lang, x) for x in parts(lang, text if text.isascii() else unicodedata.normalize("NFC", text))])
+            if len(counts) > CACHE_CHUNKS:
+                yield rows()
+                counts.clear()
+    yield rows()
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """COUNTS of words whose letters the language has, of characters of Japanese texts, and of texts."""
+    spelled: dict[tuple[str, str], tuple[str, ...]] = {}
+
+    def words(lang: str, text: str) -> set[str]:
+        if lang not in LETTERS:
+            return {"", *(c for c in set(text) if _japanese(c))}
+        out = {""}
+        for chunk in set(text.split()):
+            found = spelled.get((lang, chunk))
+            if found is None:
+                if len(spelled) > CACHE_CHUNKS:
+                    spelled.clear()
+                found = spelled[lang, chunk] = tuple(x for w in PARTS.split(chunk.strip(EDGES)) if w.isalpha() and _spelled(x := lower(w), lang))
+            out.update(found)
+        return out
+
+    return _counted(batches, words)
+
+
+def _first_bytes(counts: DataFrame) -> dict[str, list[str]]:
+    """The most frequent parts of each language in order, up to the first that DICTIONARY_BYTES don't hold."""
+
+    def first(df: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(F.desc("n"), "part").rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn("before", F.sum(F.octet_length("part") + 1).over(w)).where(F.coalesce("before", F.lit(0)) <= DICTIONARY_BYTES)
+
+    rows = counts.withColumn("salt", F.pmod(F.xxhash64("part"), F.lit(64))).repartition("l", "salt").groupBy("l", "salt", "part").agg(F.sum("n").alias("n"))
+    out: dict[str, list[str]] = defaultdict(list)
+    for r in first(first(rows, "l", "salt"), "l").orderBy("l", F.desc("n"), "part").select("l", "part").collect():  # DICTIONARY_BYTES and a part for each language
+        out[r["l"]].append(r["part"])
+    return out
+
+
+def fit_languages(rows: DataFrame) -> Languages:
+    """Languages from all rows (l, t): words whose letters the language has, in at least LEAST_TEXTS texts and LEAST_SHARE of them."""
+    counts = materialize(rows.mapInArrow(_count_words, COUNTS).groupBy("l", "part").agg(F.sum("n").alias("n")), "words")
+    texts = {r["l"]: r["n"] for r in counts.where("part = ''").collect()}  # a number for each language
+    if not texts:
+        return Languages({}, frozenset(JAPANESE_SIGNS), {})
+    least = {lang: max(LEAST_TEXTS, LEAST_SHARE * n) for lang, n in texts.items()}
+    enough = F.col("n") >= F.create_map(*[F.lit(x) for lang, n in least.items() for x in (lang, float(n))])[F.col("l")]
+    seen: dict[str, Counter] = {lang: Counter() for lang in texts}
+    for r in counts.where(enough & (F.col("part") != "")).collect():  # bounded by the share: at most words of a mean text / LEAST_SHARE
+        seen[r["l"]][r["part"]] = r["n"]
+    words = {lang: frozenset(w for w, n in c.items() if n >= SINGLE_SHARE * texts[lang] * (len(w) == 1) and not w.isascii() and not _misread(w, n, c)) for lang, c in seen.items() if lang in LETTERS}
+    japanese = frozenset(seen.get("ja", ())) | frozenset(JAPANESE_SIGNS)
+    usual = {chr(c) for c in range(128)} | set(BESIDE + USUAL) | japanese
+    own = {lang: usual | {c for c in map(chr, range(128, 0x3000)) if c.lower() in LETTERS.get(lang, "")} for lang in texts}
+
+    def count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def good(lang: str, text: str) -> set[str]:
+            return {x for x in text.split("\n") if len(x) < DICTIONARY_BYTES and (x.isascii() or own[lang].issuperset(x))}  # a longer one can't be held
+
+        return _counted(batches, good)
+
+    lines = _first_bytes(rows.mapInArrow(count_lines, COUNTS))
+    short = [lang for lang in texts if lang in LETTERS and sum(len(x.encode()) + 1 for x in lines.get(lang, ())) <= DICTIONARY_BYTES]
+    common: dict[str, list[str]] = {}
+    if short:  # words follow the lines where these leave room
+        odd = [f"{lang} {w}" for lang in short for w in seen[lang] if not w.isascii() and w not in words[lang]]
+        fine = F.col("part").rlike(r"^[\x00-\x7f]+$") | (enough & ~F.concat_ws(" ", "l", "part").isin(odd))
+        common = _first_bytes(counts.where(F.col("l").isin(short) & fine))
     dictionaries = {}
-    for lang in {*LETTERS, "ja"} & lines.keys():
-        known = words.get(lang, frozenset())
-        good = [x for x in lines[lang] if all(c.isascii() or c in BESIDE + USUAL or c in japanese or c.lower() in LETTERS.get(lang, "") for c in x)]
-        common = [w for w, _ in seen[lang].most_common() if w in known or w.isascii()] if lang in seen else []
+    for lang in texts:
         body, size = [], 0
-        for part in [*sorted(good, key=lambda x: (-lines[lang][x], x)), *common]:
+        for part in [*lines.get(lang, ()), *common.get(lang, ())]:
             size += len(part.encode()) + 1
             if size > DICTIONARY_BYTES:
                 break
@@ -423,12 +489,15 @@ class Judge:
         return "\n".join(right.get(x.strip(), x) if "�" in x else x for x in text.split("\n"))
 
 
-def sample_texts(df: DataFrame, key: str, text: str, lang: str) -> list[tuple[str, str]]:
-    """The SAMPLE_TEXTS texts of each language with the smallest hash of the key."""
-    rows = df.select(F.lower(F.substring(F.trim(F.col(lang)), 1, 2)).alias("l"), F.col(text).alias("t"), F.xxhash64(key).alias("h"))
-    rows = rows.where(F.col("l").isin(*LETTERS, "ja") & (F.length("t") > 0))
-    w = Window.partitionBy("l").orderBy("h", "t")
-    return [(r["l"], r["t"]) for r in rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE_TEXTS).select("l", "t").orderBy("l", "t").collect()]
+def labelled_texts(df: DataFrame, text: str, lang: str) -> DataFrame:
+    """(l, t): all texts that aren't empty, with the language of their label, if it has letters here or is Japanese."""
+    rows = df.select(F.lower(F.substring(F.trim(F.col(lang)), 1, 2)).alias("l"), F.col(text).alias("t"))
+    return rows.where(F.col("l").isin(*LETTERS, "ja") & (F.length("t") > 0))
+
+
+def sample_texts(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    """The former name of labelled_texts, from when fits took a sample by the hash of the key."""
+    return labelled_texts(df, text, lang)
 
 
 def find_garbled(df: DataFrame, key: str, text: str, lang: str, page: str | None = None, restore: bool = True) -> DataFrame:
@@ -438,7 +507,7 @@ def find_garbled(df: DataFrame, key: str, text: str, lang: str, page: str | None
     else `restored` is null.  Null and empty texts are never found.  With restore=False only the key is filled.
     """
     session = df.sparkSession.sparkContext
-    shared = session.broadcast(fit_languages(sample_texts(df, key, text, lang)))  # bounded: word lists of bounded samples
+    shared = session.broadcast(fit_languages(labelled_texts(df, text, lang)))  # bounded: words by their share of texts, dictionaries of fixed size
     picked = df.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(key, text, *([page] if page else []))
     schema = T.StructType([picked.schema[0], T.StructField("chains", T.ArrayType(T.StringType())), T.StructField("restored", T.StringType())])
 

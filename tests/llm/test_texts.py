@@ -190,3 +190,20 @@ def test_find_garbled(spark, documents):
     assert out[-4]["restored"] == "léger" and out[-4]["chains"] == ["lost"]
     assert out[-5]["restored"] == "Café " * 20_000
     assert encoding.find_garbled(df.where("false"), "doc_id", "text", "lang").count() == 0
+
+
+def test_all_texts_are_fitted(spark):
+    """Words, lines and thresholds come from all texts of a language, wherever they stand and however many there are."""
+    n = 1200
+    text = F.when(F.col("id") % 4 == 0, "Straßenbahnführer fahren").otherwise("Haltestelle überall")
+    text = F.when(F.col("id") < 5, "Seltenwörtchen").otherwise(text)  # 5 texts of 1,200 are below the share
+    text = F.concat(text, F.lit("\n"), F.concat(F.lit("Zeile "), (F.col("id") % 300).cast("string")))
+    df = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("DE-xx").alias("lang"))
+    late = df.withColumn("h", F.xxhash64("doc_id")).orderBy("h").withColumn("late", F.monotonically_increasing_id() >= 500)  # beyond the former sample
+    df = late.withColumn("text", F.when(F.col("late"), F.concat("text", F.lit("\nVorübergehend gesperrt"))).otherwise(F.col("text")))
+    found = encoding.fit_languages(encoding.sample_texts(df, "doc_id", "text", "lang"))
+    assert {"straßenbahnführer", "überall", "vorübergehend"} <= found.words["de"] and "seltenwörtchen" not in found.words["de"]
+    lines = found.dictionaries["de"].decode().split("\n")
+    assert {f"Zeile {i}" for i in range(300)} <= set(lines)
+    at = [lines.index(x) for x in ("Vorübergehend gesperrt", "Haltestelle überall")]
+    assert at == sorted(at) and at[0] > lines.index("Zeile 0")  # the more texts hold a line, the nearer it is to the end
